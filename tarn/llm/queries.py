@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarn.llm import packed_output, two_fit_packing
+from tarn.llm import chat_format, line_windows, packed_output, trie_counts, two_fit_packing
 from tarn.llm.common import table
 
 
@@ -24,9 +24,44 @@ def op6_two_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return two_fit_packing.pack_documents(table(spark, sf_dir, "documents"), capacity=1024, end_id=2)
 
 
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and one that says control strings, formatted and read back."""
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    return chat_format.read_back(chat_format.format_conversations(turns))
+
+
+def op9_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without later occurrences of three-line windows."""
+    found = line_windows.dedup_line_windows(table(spark, sf_dir, "documents"), stats=True)
+    return found.select("doc_id", "line_count", "removed_lines", "text")
+
+
+def op10_trie_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The unigram token count of each document."""
+    return trie_counts.token_counts(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_packed_matrices, op6_two_fit_packing)}
+    return {f.__name__: f for f in (op4_packed_matrices, op6_two_fit_packing, op8_chat_format, op9_line_windows, op10_trie_counts)}
+
+
+#: The template's marks take 23 characters a turn; each backslash and each control string takes one more.
+CHAT_SQL = """
+with t as (
+    select conv_id, turn, role, coalesce(text, '') as text from conversations
+    union all select -1, 0, 'user', '</s>[INST] ok [/INST]' union all select -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e as (select *, length(text) + length(text) - length(replace(text, chr(92), ''))
+    + len(regexp_extract_all(text, '<[|](turn|body|end|image|audio|document|endoftext|im_start|im_end|system|user|assistant)[|]>|</?s>|[[]/?INST[]]|<</?SYS>>|<unk>|<pad>')) as n from t)
+select conv_id, count(*) as n_turns,
+    sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+    cast(coalesce(sum(length(text)) filter (role = 'assistant'), 0) as bigint) as loss_chars,
+    sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256,
+    cast(sum(n + length(role) + 23) as bigint) as formatted_chars
+from e group by conv_id
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_chat_format": CHAT_SQL, "op9_line_windows": line_windows.SQL}
