@@ -10,8 +10,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarn.llm import chat_format, line_windows, packed_output, trie_counts, two_fit_packing
-from tarn.llm.common import table
+from pyspark.sql import functions as F
+
+from tarn.llm import byte_gru, chat_format, decision_list, line_windows, packed_output, quality_crf, trie_counts, two_fit_packing
+from tarn.llm.common import rest_class, table
+
+
+def op2_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality score of each document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    chain = quality_crf.fit(docs, table(spark, sf_dir, "labels"))
+    scored = quality_crf.score_documents(docs, chain)
+    return scored.select("doc_id", (rest_class("doc_id", 3) == 1).alias("held_out"), F.col("quality_score").alias("score"), "predicted")
 
 
 def op4_packed_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,11 +29,27 @@ def op4_packed_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_output.packed_matrices(table(spark, sf_dir, "documents"))
 
 
+def op5_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts of each document and whether the base rules and the learned list keep it."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rules = decision_list.fit(docs, table(spark, sf_dir, "labels"))
+    columns = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return decision_list.apply_rules(docs, rules).select(*columns)
+
+
 def op6_two_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pieces of all documents and their places in sequences of 1024 tokens."""
     return two_fit_packing.pack_documents(table(spark, sf_dir, "documents"), capacity=1024, end_id=2)
 
 
+def op7_byte_gru(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of each document."""
+    docs = table(spark, sf_dir, "documents")
+    net = byte_gru.fit(docs)
+    found = byte_gru.identify(docs, net)
+    return found.select("doc_id", (rest_class("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score")
+
+
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and one that says control strings, formatted and read back."""
     said = "</s>[INST] ok [/INST]"
@@ -44,7 +70,11 @@ def op10_trie_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_packed_matrices, op6_two_fit_packing, op8_chat_format, op9_line_windows, op10_trie_counts)}
+    every = (
+        op2_quality_crf, op4_packed_matrices, op5_decision_list, op6_two_fit_packing,
+        op7_byte_gru, op8_chat_format, op9_line_windows, op10_trie_counts,
+    )
+    return {f.__name__: f for f in every}
 
 
 #: The template's marks take 23 characters a turn; each backslash and each control string takes one more.
