@@ -12,10 +12,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from tarn.llm import byte_gru, chat_format, decision_list, line_windows, packed_output, quality_crf, trie_counts, two_fit_packing
+from tarn.llm import bag_min_hash, bm25_wand, byte_gru, chat_format, decision_list, line_windows, packed_output, quality_crf, trie_counts, two_fit_packing
 from tarn.llm.common import rest_class, table
 
 
+def op1_bm25_wand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark items that each document leaks."""
+    return bm25_wand.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The quality score of each document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -24,6 +29,11 @@ def op2_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (rest_class("doc_id", 3) == 1).alias("held_out"), F.col("quality_score").alias("score"), "predicted")
 
 
+def op3_bag_min_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate class of each document."""
+    return bag_min_hash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_packed_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Packed id matrices of all documents."""
     return packed_output.packed_matrices(table(spark, sf_dir, "documents"))
@@ -71,7 +81,7 @@ def op10_trie_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
-        op2_quality_crf, op4_packed_matrices, op5_decision_list, op6_two_fit_packing,
+        op1_bm25_wand, op2_quality_crf, op3_bag_min_hash, op4_packed_matrices, op5_decision_list, op6_two_fit_packing,
         op7_byte_gru, op8_chat_format, op9_line_windows, op10_trie_counts,
     )
     return {f.__name__: f for f in every}
