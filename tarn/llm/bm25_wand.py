@@ -268,19 +268,23 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
     return out if out is not None else docs.sparkSession.createDataFrame([], schema)
 
 
+def _leaks_any(sent, threshold: float, least_question: float, least_answer: float):
+    """A function of a text column: does it leak an item of the shard?"""
+
+    def leaky(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for part in texts:
+            flags = np.zeros(len(part), bool)
+            for s in range(0, len(part), 512):
+                found = sent.value.leaks(part.iloc[s : s + 512].tolist(), threshold, least_question, least_answer)
+                flags[[s + k for k, *_ in found]] = True
+            yield pd.Series(flags)
+
+    return F.pandas_udf(leaky, "boolean")
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, least_question: float = LEAST_QUESTION, least_answer: float = LEAST_ANSWER) -> DataFrame:
     """The documents without a verified leak, with all their columns; see ``find_leaks``."""
     importable(docs.sparkSession)
     for index in index_shards(benchmark):
-        sent = docs.sparkSession.sparkContext.broadcast(index)
-
-        def leaky(texts: Iterator[pd.Series], sent=sent) -> Iterator[pd.Series]:
-            for part in texts:
-                flags = np.zeros(len(part), bool)
-                for s in range(0, len(part), 512):
-                    found = sent.value.leaks(part.iloc[s : s + 512].tolist(), threshold, least_question, least_answer)
-                    flags[[s + k for k, *_ in found]] = True
-                yield pd.Series(flags)
-
-        docs = docs.filter(~F.pandas_udf(leaky, "boolean")("text"))
+        docs = docs.filter(~_leaks_any(docs.sparkSession.sparkContext.broadcast(index), threshold, least_question, least_answer)("text"))
     return docs
