@@ -16,9 +16,7 @@ from tarn.llm.common import lasting, table
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the conditional random field, fitted to the labels, doesn't reject."""
-    chain = quality_crf.fit(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"))
-    scored = quality_crf.score_documents(docs, chain)
-    return scored.filter("predicted = 1").select(*(scored[f"`{c}`"] for c in docs.columns))
+    return quality_crf.keep_good(docs, quality_crf.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

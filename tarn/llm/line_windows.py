@@ -72,28 +72,29 @@ def dedup_line_windows(docs: DataFrame, stats: bool = False) -> DataFrame:
     other texts they are documents of their own. An empty table gives no rows. Other columns, of
     whatever names, are carried along.
     """
-    gone = covered_lines(docs).select(F.col("doc_id").alias("_tarn_id"), F.col("text_hash").alias("_tarn_hash"), F.col("gone").alias("_tarn_gone"))
-    here = docs.withColumn("_tarn_text_hash", F.xxhash64("text"))
-    joined = here.join(gone, here["doc_id"].eqNullSafe(gone["_tarn_id"]) & (here["_tarn_text_hash"] == gone["_tarn_hash"]), "left")
-    split = joined.withColumn("_tarn_lines", F.when(F.col("_tarn_gone").isNotNull() | F.lit(stats), _lines()))
-    count, lines = F.size("_tarn_lines"), F.col("_tarn_lines")
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    row = F.struct(F.lit(0).alias("_"), *(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(others)))  # so that no name clashes
+    here = docs.select("doc_id", "text", row.alias("row"), F.xxhash64("text").alias("text_hash"))
+    gone = covered_lines(docs)
+    joined = here.join(gone, here["doc_id"].eqNullSafe(gone["doc_id"]) & (here["text_hash"] == gone["text_hash"]), "left")
+    found = joined.select(here["doc_id"], "text", "row", "gone", F.when(F.col("gone").isNotNull() | F.lit(stats), _lines()).alias("lines"))
+    count, lines = F.size("lines"), F.col("lines")
     # what lies between two removed lines is a slice, so the work is linear in the lines
-    before = F.concat(F.array(F.lit(-1)), F.col("_tarn_gone"))
-    after = F.concat(F.col("_tarn_gone"), F.array(count))
+    before = F.concat(F.array(F.lit(-1)), F.col("gone"))
+    after = F.concat(F.col("gone"), F.array(count))
     kept = F.flatten(F.zip_with(before, after, lambda x, y: F.slice(lines, x + 2, y - x - 1)))
-    text = F.when(F.col("_tarn_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    untouched = F.col("gone").isNull()
+    text = F.when(untouched, F.col("text")).otherwise(F.array_join(kept, "\n"))
     out = []
     for name in docs.columns:
-        column = F.col(f"`{name}`")
-        if name == "text":
-            column = text.alias("text")
-        elif name == "n_chars":
-            column = F.when(F.col("_tarn_gone").isNull(), column).otherwise(F.length(text).cast(docs.schema[name].dataType)).alias(name)
-        out.append(column)
+        column = text if name == "text" else F.col("doc_id") if name == "doc_id" else F.col(f"row.c{others.index(name)}")
+        if name == "n_chars":
+            column = F.when(untouched, column).otherwise(F.length(text).cast(docs.schema[name].dataType))
+        out.append(column.alias(name))
     if stats:
-        out.append(F.coalesce(F.when(F.col("text").isNotNull(), count.cast("long")), F.lit(0).cast("long")).alias("line_count"))
-        out.append(F.when(F.col("_tarn_gone").isNull(), F.lit(0).cast("long")).otherwise(F.size("_tarn_gone").cast("long")).alias("removed_lines"))
-    return split.select(*out)
+        out.append(F.when(F.col("text").isNull(), F.lit(0)).otherwise(count).cast("long").alias("line_count"))
+        out.append(F.when(untouched, F.lit(0)).otherwise(F.size("gone")).cast("long").alias("removed_lines"))
+    return found.select(*out)
 
 
 SQL = """

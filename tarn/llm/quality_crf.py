@@ -179,6 +179,17 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 4_000, rounds: in
     return train(x, rows["n_lines"].to_numpy(int), rows["quality"].to_numpy() == 1, rounds)
 
 
+def quality_function(chain: Chain):
+    """The score of a text column."""
+
+    def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for part in texts:
+            yield pd.Series(np.concatenate([score_texts(chain, part.iloc[k : k + 512].tolist()) for k in range(0, len(part), 512)] or [np.empty(0)]))
+
+    # not deterministic for Spark: else a filter on the score would compute it twice
+    return F.pandas_udf(score, "double").asNondeterministic()
+
+
 def score_documents(docs: DataFrame, chain: Chain) -> DataFrame:
     """All columns of the documents, then quality_score (0 to 1) and predicted (1 from 0.5 on).
 
@@ -187,11 +198,10 @@ def score_documents(docs: DataFrame, chain: Chain) -> DataFrame:
     are named quality_score or predicted already are replaced.
     """
     importable(docs.sparkSession)
+    return docs.withColumn("quality_score", quality_function(chain)("text")).withColumn("predicted", (F.col("quality_score") >= 0.5).cast("int"))
 
-    def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for part in texts:
-            yield pd.Series(np.concatenate([score_texts(chain, part.iloc[k : k + 512].tolist()) for k in range(0, len(part), 512)] or [np.empty(0)]))
 
-    # not deterministic for Spark: else a filter on the score would compute it twice
-    scored = F.pandas_udf(score, "double").asNondeterministic()
-    return docs.withColumn("quality_score", scored("text")).withColumn("predicted", (F.col("quality_score") >= 0.5).cast("int"))
+def keep_good(docs: DataFrame, chain: Chain) -> DataFrame:
+    """The documents of a score of 0.5 or more, with all their columns, whatever these are named."""
+    importable(docs.sparkSession)
+    return docs.filter(quality_function(chain)("text") >= 0.5)
