@@ -9,8 +9,9 @@ point. Two documents share a register's point with a probability that is exactly
 Jaccard similarity, and drawing stops once no later point can be the earliest of any register.
 
 Registers are banded. Documents in one band bucket are verified by their exact multisets against the
-bucket's leader, and links are closed to classes. A bucket that still holds several classes gets
-other leaders, then all its remaining pairs, so no pair that shares a bucket is missed.
+bucket's leader, and links are closed to classes. The members of buckets that still hold several
+classes are compared across classes by an exact index of their shingles, in pairs of blocks of
+bounded size, so no pair that shares a bucket is missed.
 
 Scale: exact copies count once from the start. What is shuffled is one signature per text, then
 (band key, text) rows; leaders are found by aggregation and joined back, never by gathering a bucket.
@@ -21,7 +22,6 @@ but counts.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 from itertools import chain
 
 import numpy as np
@@ -36,6 +36,8 @@ SIMILARITY = 0.8
 BANDS, ROWS = 20, 4
 #: Keys are sent to every executor only if they are so few; else the join is shuffled.
 BROADCAST_KEYS = 500_000
+#: Shingles of a block of texts that are compared with another block's, about.
+BLOCK_SHINGLES = 400_000
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _U = np.uint64
@@ -225,40 +227,85 @@ def _pairs(joined: DataFrame, similarity: float) -> DataFrame:
     return joined.filter((F.col("node") != F.col("leader")) & (F.least("n", "leader_n") >= F.lit(similarity) * large - 1e-6)).select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
 
 
-def near_classes(docs: DataFrame, similarity: float = SIMILARITY, rotations: int = 2) -> DataFrame:
+def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """node (of a text) and comp, its class, of each text that is like another; both 128-bit hashes."""
     signed = signatures(docs)
     texts = lasting(signed.groupBy("node").agg(F.first("n").alias("n"), F.first("keys").alias("keys")).filter("n > 0"))
     members = texts.select("node", "n", F.explode("keys").alias("key"))
-    sized = F.struct("node", "n")
-    leaders = members.groupBy("key").agg(F.min(sized).alias("m"), F.count(F.lit(1)).alias("size")).filter("size > 1").select("key", F.col("m.node").alias("leader"), F.col("m.n").alias("leader_n"))
-    tested = lasting(_pairs(members.join(leaders, "key"), similarity))
-    links = [lasting(verified(tested, docs, similarity))]
-    classes = lasting(components(links[0]))
-    shared = members.join(leaders.select("key"), "key", "left_semi")
-    for turn in range(rotations + 1):
-        # the members of buckets that still hold several classes
-        placed = shared.join(classes, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        mixed = placed.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 <> c1").select("key")
-        left = lasting(placed.join(mixed, "key", "left_semi"))
-        if not left.take(1):
-            break
-        shared = left.select("key", "node", "n")
-        if turn < rotations:  # another leader: the node of least hash, of a kind that differs by turn
-            spread = F.xxhash64(F.lit(turn), "node")
-            other = left.groupBy("key").agg(F.min(F.struct(spread.alias("h"), "node", "n", "comp")).alias("m"))
-            other = other.select("key", F.col("m.node").alias("leader"), F.col("m.n").alias("leader_n"), F.col("m.comp").alias("leader_comp"))
-            found = left.join(other, "key").filter("comp <> leader_comp")
-        else:  # every pair of different classes that is left
-            other = left.select("key", F.col("node").alias("leader"), F.col("n").alias("leader_n"), F.col("comp").alias("leader_comp"))
-            found = left.join(other, "key").filter("comp < leader_comp")
-        known = tested.union(tested.select("b", "a"))
-        more = lasting(_pairs(found, similarity).join(known, ["a", "b"], "left_anti"))
-        tested = lasting(tested.union(more)) if turn < rotations else tested
-        links.append(lasting(verified(more, docs, similarity)))
-        if links[-1].take(1):
-            classes = lasting(components(reduce(DataFrame.union, links)))
-    return classes
+    leaders = members.groupBy("key").agg(F.min(F.struct("node", "n")).alias("m"), F.count(F.lit(1)).alias("size")).filter("size > 1").select("key", F.col("m.node").alias("leader"), F.col("m.n").alias("leader_n"))
+    shared = lasting(members.join(leaders, "key"))
+    links = lasting(verified(lasting(_pairs(shared, similarity)), docs, similarity))
+    classes = lasting(components(links))
+    # what is left: the members of buckets that still hold several classes
+    placed = shared.join(classes, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    mixed = placed.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 <> c1").select("key")
+    left = lasting(placed.join(mixed, "key", "left_semi").select("node", "leader", "n", "comp").distinct())
+    if not left.take(1):
+        return classes
+    more = lasting(linked_within_groups(left, docs, similarity))
+    return lasting(components(links.union(more))) if more.take(1) else classes
+
+
+def linked_within_groups(left: DataFrame, docs: DataFrame, similarity: float, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+    """Pairs (a, b) of nodes of different classes that are alike, of those that buckets join, by whatever chain.
+
+    left: node, leader, n, comp. A group of nodes is cut by hash into blocks of bounded size, and each
+    pair of blocks is searched in a task of its own, which gives only the links that it finds.
+    """
+    nodes = lasting(left.groupBy("node").agg(F.first("n").alias("n"), F.first("comp").alias("comp")))
+    groups = lasting(components(left.select(F.col("node").alias("a"), F.col("leader").alias("b"))).select("node", F.col("comp").alias("group")))
+    placed = nodes.join(groups, "node")
+    sizes = placed.groupBy("group").agg(F.ceil(F.sum("n") / block_shingles).cast("int").alias("blocks"))
+    texts = _among(docs.select(_node().alias("node"), "text"), nodes.select("node")).groupBy("node").agg(F.first("text").alias("text"))
+    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    copies = placed.join(sizes, "group").join(texts, "node").withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    paired = copies.select("group", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "comp", "text")
+
+    def search(rows: pa.Table) -> pa.Table:
+        rows = rows.combine_chunks()
+        names, classes = rows["node"].to_pylist(), rows["comp"].to_pylist()
+        kinds = {c: k for k, c in enumerate(dict.fromkeys(classes))}
+        kind, side = np.array([kinds[c] for c in classes]), rows["block"].to_numpy() == rows["j"].to_numpy()
+        same = bool((rows["i"].to_numpy() == rows["j"].to_numpy()).all())
+        found = cross_links([*rows["text"].to_pylist()], kind, None if same else side, similarity)
+        return pa.table({"a": pa.array([names[x] for x, _ in found], pa.binary()), "b": pa.array([names[y] for _, y in found], pa.binary())})
+
+    importable(docs.sparkSession)
+    return paired.groupBy("group", "i", "j").applyInArrow(search, "a binary, b binary")
+
+
+def cross_links(texts: list[str | None], kind: np.ndarray, side: np.ndarray | None, similarity: float) -> list[tuple[int, int]]:
+    """Pairs of texts of different kinds (and different sides, if there are any) that are alike.
+
+    A text gives one link to each other kind that it is linked to: the kind is one class already.
+    Texts of the commonest kind are only looked up; each other one looks its shingles up among all.
+    """
+    hashes = WordHashes()
+    parts = []
+    for s in range(0, len(texts), 500):
+        text, shingle, weight = shingles(texts[s : s + 500], hashes)
+        parts.append((text + s, shingle, weight))
+    text, shingle, weight = (np.concatenate(x) for x in zip(*parts))
+    n = np.bincount(text, weights=weight, minlength=len(texts))
+    order = np.argsort(shingle, kind="stable")
+    at, docs, counts = shingle[order], text[order], weight[order]
+    cuts = np.searchsorted(text, np.arange(len(texts) + 1))
+    commonest = np.bincount(kind).argmax()
+    found = []
+    for y in np.flatnonzero(kind != commonest):
+        own, own_counts = shingle[cuts[y] : cuts[y + 1]], weight[cuts[y] : cuts[y + 1]]
+        low, high = np.searchsorted(at, own), np.searchsorted(at, own, side="right")
+        m = high - low
+        where = np.arange(int(m.sum())) - np.repeat(np.cumsum(m) - m, m) + np.repeat(low, m)
+        both = np.bincount(docs[where], weights=np.minimum(counts[where], np.repeat(own_counts, m)), minlength=len(texts))
+        alike = (both >= similarity * (n + n[y] - both)) & (kind != kind[y])
+        if side is not None:
+            alike &= side != side[y]
+        # of two that both look up, the later one reports
+        alike &= (kind == commonest) | (np.arange(len(texts)) < y)
+        hits = np.flatnonzero(alike)
+        found += [(int(y), int(hits[k])) for k in np.unique(kind[hits], return_index=True)[1]]
+    return found
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
