@@ -34,7 +34,7 @@ def importable(spark: SparkSession) -> None:
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's shared folder: spark.checkpoint.dir, or a temporary one where that is unset."""
     sc = spark.sparkContext
-    folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not folder:
         folder = tempfile.mkdtemp(prefix="tarn-shared-")
         atexit.register(shutil.rmtree, folder, True)

@@ -1,0 +1,160 @@
+import hashlib
+import math
+from collections import Counter
+
+import duckdb
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from tarn.llm import chat_format, line_windows, queries, trie_counts
+from tarn.llm.chat_format import CONTROL_STRINGS, escape, parse, unescape
+from tarn.llm.trie_counts import TokenTrie
+
+DATA = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_query_equals_its_sql(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "conversations"):
+        con.sql(f"create view {t} as select * from '{DATA}/{t}.parquet'")
+    found, want = queries.queries()[name](spark, DATA).toPandas(), con.sql(queries.oracle_sql()[name]).df()
+    columns = sorted(found.columns)
+    text = lambda df: sorted(map(tuple, df[columns].astype(str).to_numpy()))
+    assert columns == sorted(want.columns) and text(found) == text(want)
+
+
+def plain_line_dedup(docs):
+    """Brute force over (id, text), ids distinct."""
+    at = {}
+    for doc_id, text in sorted(docs, key=lambda d: (d[0] is not None, d[0] or 0)):
+        lines = (text if text is not None else "").split("\n")
+        for p in range(len(lines) - 2):
+            if "".join(lines[p : p + 3]).strip(" \t\r\f\x0b"):
+                at.setdefault(tuple(lines[p : p + 3]), []).append((doc_id, p))
+    gone = set()
+    for places in at.values():
+        f, fp = places[0]
+        for d, p in places[1:]:
+            gone |= {(d, q) for q in range(max(p, fp + 3) if d == f else p, p + 3)}
+    return {d: None if t is None else "\n".join(x for q, x in enumerate(t.split("\n")) if (d, q) not in gone) for d, t in docs}
+
+
+CASES = [
+    (1, "a\nb\nc\nd"), (2, "x\na\nb\nc\ny"), (3, "b\nc\nd"), (4, ""), (5, None), (6, "a\nb"), (7, "q\nq\nq\nq\nq\nq\nq"), (8, "\n\n\n\n"), (9, "\n \n\t\n"), (10, "q\nq\nq"),
+    (None, "x\na\nb\nc\ny"), (11, "r\ns\nt\nr\ns\nt\nu"), (12, "l\n" * 3000), (13, "a\r\nb\nc"),
+]
+
+
+def test_line_windows_by_hand(spark):
+    docs = spark.createDataFrame([(d, t, "z", 5) for d, t in CASES], "doc_id long, text string, _tarn_gone string, n_chars long")
+    found = line_windows.dedup_line_windows(docs)
+    assert found.columns == docs.columns
+    rows = found.collect()
+    want = plain_line_dedup(CASES)
+    assert {r.doc_id: r.text for r in rows} == want
+    assert all(r.n_chars == (5 if r.text == dict(CASES)[r.doc_id] else len(r.text)) for r in rows)
+
+
+@settings(max_examples=8, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(["a", "b", "", " "]), max_size=12).map("\n".join), min_size=1, max_size=6))
+def test_line_windows_by_brute_force(spark, texts):
+    cases = list(enumerate(texts))
+    found = line_windows.dedup_line_windows(spark.createDataFrame(cases, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.text for r in found} == plain_line_dedup(cases)
+
+
+def test_line_windows_of_equal_ids_and_no_rows(spark):
+    same = [(1, "a\nb\nc"), (1, "a\nb\nc"), (1, "a\nb\nc\nd")]
+    found = line_windows.dedup_line_windows(spark.createDataFrame(same, "doc_id long, text string"), stats=True)
+    rows = sorted((r.text, r.line_count, r.removed_lines) for r in found.collect())
+    assert len(rows) == 3 and sum(r[2] for r in rows) in (3, 6)  # one of the two texts keeps the window
+    assert line_windows.dedup_line_windows(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def plain_count(text, scores, unknown):
+    total = 0
+    for word in trie_counts.PRE_TOKEN.findall(" " + text) if text else []:
+        best = [(0.0, 0)] + [(-math.inf, 0)] * len(word)
+        for j in range(1, len(word) + 1):
+            options = [(best[j - 1][0] + unknown, best[j - 1][1] + len(word[j - 1].encode()))] if word[j - 1] not in scores else []
+            options += [(best[i][0] + scores[word[i:j]], best[i][1] + 1) for i in range(j) if word[i:j] in scores]
+            best[j] = max(options, key=lambda o: (o[0], -o[1]))
+        total += best[-1][1]
+    return total
+
+
+SCORES = {"a": -3.0, "b": -3.0, " ": -2.5, " a": -3.5, "ab": -4.0, "bab": -5.0, " ab": -4.2, "é": -6.0, "abab": -7.5}
+
+
+@given(st.text(alphabet="ab \né中", max_size=40))
+def test_trie_counts_by_brute_force(text):
+    assert TokenTrie(SCORES).count(text) == plain_count(text, SCORES, min(SCORES.values()) - 10)
+
+
+def test_trie_counts_with_a_small_trie():
+    small, large = TokenTrie(SCORES, most_nodes=5), TokenTrie(SCORES)
+    texts = ["ab ab bab", "a b", "", "中é ab" * 50]
+    assert [small.count(t) for t in texts * 3] == [large.count(t) for t in texts * 3]
+
+
+def test_real_vocabulary(spark):
+    scores = trie_counts.unigram_scores(trie_counts.default_vocabulary())
+    assert abs(sum(math.exp(x) for x in scores.values()) - 1) < 1e-9
+    texts = {0: "The quick brown fox\njumps", 1: "", 2: None, 3: "x" * 20000, None: "naïve 中文 \U0001f600"}
+    docs = spark.createDataFrame([(k, t, "other") for k, t in texts.items()], "doc_id long, text string, n_tokens string")
+    found = {r.doc_id: r.n_tokens for r in trie_counts.token_counts(docs).collect()}
+    unknown = min(scores.values()) - trie_counts.BYTES_PENALTY
+    for k in (0, 1, 2, None):
+        assert found[k] == plain_count(texts[k] or "", scores, unknown)
+    assert 0 < found[3] <= 20000
+    assert trie_counts.token_counts(docs.limit(0)).count() == 0
+
+
+@given(st.lists(st.sampled_from([*CONTROL_STRINGS, "\\", "<", "|", ">", "[", "x", "\n", "é"]), max_size=20).map("".join))
+def test_escaping_is_reversible(text):
+    hidden = escape(text)
+    assert unescape(hidden) == text
+    assert not any(c in hidden for c in CONTROL_STRINGS)
+
+
+def digest(s):
+    return hashlib.sha256(s.encode()).hexdigest()
+
+
+def test_conversations_are_read_back(spark):
+    rows = [
+        (1, 0, "user", "hi <|end|> \\"), (1, 1, "assistant", "</s>[INST] ok [/INST]"), (1, 1, "assistant", "also turn 1"), (1, 3, None, None), (1, 2, "assistant", ""),
+        (None, 0, "assistant", "no id"), (2, None, "user", "x"), (2, 0, "assistant", "y"), (2, 0, "assistant", "y"),
+    ]
+    turns = spark.createDataFrame([(*r, "extra") for r in rows], "conv_id long, turn long, role string, text string, said string")
+    formatted = chat_format.format_conversations(turns)
+    back = {r.conv_id: r for r in chat_format.read_back(formatted).collect()}
+    order = lambda r: (r[1] is not None, r[1] or 0, r[2] is not None, r[2] or "", r[3] or "")
+    for conv in (1, 2, None):
+        own = sorted((r for r in rows if r[0] == conv), key=order)
+        said = [(r[2] or "", r[3] or "") for r in own]
+        loss = "".join(t for role, t in said if role == "assistant")
+        r = back[conv]
+        assert (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) == (len(own), digest("".join(f"{a}\n{b}\n" for a, b in said)), len(loss), digest(loss))
+    assert chat_format.format_conversations(turns.limit(0)).count() == 0
+
+
+def test_parts_are_visited_in_order(spark):
+    part = lambda kind, text=None, uri=None, w=None, h=None, ms=None, pages=None: (kind, text, uri, w, h, ms, pages)
+    parts = [part("text", "see <|image|>"), part("image", uri="i.png", w=57, h=28), part("text", "and"), part("audio", uri="a.wav", ms=1001), part("document", uri="d.pdf", pages=3)]
+    turns = spark.createDataFrame([(1, 0, "user", parts), (1, 1, "assistant", [part("text", "fine"), part("image"), part("text", "done")]), (1, 2, "user", None)], f"conv_id long, turn long, role string, parts array<{chat_format.PART}>")
+    r = chat_format.format_conversations(turns).first()
+    assert [(a.turn_index, a.kind, a.uri, a.n_tokens) for a in r.attachments] == [(0, "image", "i.png", 3), (0, "audio", "a.wav", 26), (0, "document", "d.pdf", 1536), (1, "image", None, 1)]
+    assert r.attachment_tokens == 3 + 26 + 1536 + 1
+    for a in r.attachments:
+        assert r.formatted[a.position :].startswith(chat_format.PLACEHOLDERS[a.kind])
+    assert [r.formatted[s.start : s.stop] for s in r.loss_spans] == ["fine", "done"]
+    assert parse(r.formatted) == [("user", "see <|image|>and"), ("assistant", "finedone"), ("user", "")]
+
+
+def test_unknown_parts_fail():
+    with pytest.raises(ValueError):
+        chat_format.PartVisitor().turn("user", [{"type": "video"}])
+    assert Counter(CONTROL_STRINGS).most_common(1)[0][1] == 1

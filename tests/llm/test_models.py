@@ -1,0 +1,224 @@
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from tarn.llm import byte_gru, decision_list, quality_crf, queries
+from tarn.llm.common import rest_class
+
+DATA = "/root/testdata/sf0.01"
+ODD = [(None, "no id. here we go"), (1, ""), (2, None), (3, "\n\n"), (4, "12345 !!! ###"), (5, "é" * 30000), (6, "word " * 60), (6, "word " * 60), (7, "a\nb\n" * 2000)]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    return spark.createDataFrame([(*r, "x", "y", 3) for r in ODD], "doc_id long, text string, predicted string, kept string, n_words int")
+
+
+def read(spark, name):
+    return spark.read.parquet(f"{DATA}/{name}.parquet")
+
+
+def test_remainders(spark):
+    rows = spark.createDataFrame([(k,) for k in (0, 1, 17, -5, 10**15)], "doc_id long").select("doc_id", rest_class("doc_id", 3).alias("r")).collect()
+    assert all(r.r == zlib.crc32(str(r.doc_id).encode()) % 3 for r in rows)
+
+
+# random field
+
+
+def plain_marginals(chain, scores):
+    """All labellings of a short chain."""
+    n = len(scores)
+    total, good = 0.0, np.zeros(n)
+    for code in range(2**n):
+        y = [code >> k & 1 for k in range(n)]
+        p = np.exp(sum(s for s, k in zip(scores, y) if k) + sum(chain.transitions[a, b] for a, b in zip(y, y[1:])))
+        total += p
+        good += p * np.array(y)
+    return good / total
+
+
+@settings(max_examples=50, deadline=None)
+@given(st.integers(0, 10**6))
+def test_forward_backward_by_brute_force(seed):
+    rng = np.random.default_rng(seed)
+    chain = quality_crf.Chain(rng.normal(size=3), rng.normal(size=(2, 2)))
+    counts = rng.integers(1, 8, 5)
+    x = rng.normal(size=(counts.sum(), 3))
+    found = chain.marginals(x, counts)
+    for s, n in zip(np.cumsum(counts) - counts, counts):
+        assert np.allclose(found[s : s + n], plain_marginals(chain, x[s : s + n] @ chain.weights))
+
+
+def test_gradient_is_that_of_the_likelihood():
+    rng = np.random.default_rng(1)
+    counts, x = np.array([3, 1, 4]), rng.normal(size=(8, 2))
+    y = np.array([1, 1, 1, 0, 0, 0, 0, 0.0])
+    params = rng.normal(size=6)
+
+    def likelihood(p):
+        chain, out = quality_crf.Chain(p[:2], p[2:].reshape(2, 2)), 0.0
+        for s, n in zip(np.cumsum(counts) - counts, counts):
+            scores = x[s : s + n] @ chain.weights
+            value = lambda lab: sum(a for a, b in zip(scores, lab) if b) + sum(chain.transitions[int(a), int(b)] for a, b in zip(lab, lab[1:]))  # noqa: B023, E731
+            out += value(y[s : s + n]) - np.log(sum(np.exp(value([c >> k & 1 for k in range(n)])) for c in range(2**n)))
+        return out
+
+    dw, dt = quality_crf.Chain(params[:2], params[2:].reshape(2, 2)).gradient(x, counts, y, np.ones(8))
+    numeric = [(likelihood(params + 1e-5 * e) - likelihood(params - 1e-5 * e)) / 2e-5 for e in np.eye(6)]
+    assert np.allclose([*dw, *dt.ravel()], numeric, atol=1e-6)
+
+
+def test_line_features_know_neighbours_and_lengths():
+    x, lengths, counts = quality_crf.line_features(["AB\ncd\ncd", None, "x"])
+    assert counts.tolist() == [3, 1, 1] and lengths.tolist() == [2, 2, 2, 0, 1]
+    assert x.shape == (5, quality_crf.N_FEATURES)
+    own = 1 + len(quality_crf.OWN)
+    upper, before_upper = 1 + quality_crf.OWN.index("upper"), own
+    assert x[:, upper].tolist() == [1, 0, 0, 0, 0] and x[:, before_upper].tolist() == [0, 1, 0, 0, 0]
+    assert x[:, 1 + quality_crf.OWN.index("repeated")].tolist() == [0, 0, 1, 0, 0]
+    assert x[:, -2].tolist() == [1, 0, 0, 1, 1] and x[:, -1].tolist() == [0, 0, 1, 1, 1]
+
+
+def test_quality_is_learned(spark, odd):
+    found = queries.queries()["op2_quality_crf"](spark, DATA).toPandas()
+    assert len(found) == read(spark, "documents").count() and found["score"].between(0, 1).all()
+    assert (found["predicted"] == (found["score"] >= 0.5)).all()
+    held = found[found["held_out"]].merge(read(spark, "labels").toPandas(), on="doc_id")
+    assert len(held) > 50 and (held["predicted"] == held["quality"]).mean() > 0.95
+    chain = quality_crf.fit(read(spark, "documents"), read(spark, "labels"))
+    scored = quality_crf.score_documents(odd, chain)
+    assert scored.count() == len(ODD) and scored.filter("quality_score between 0 and 1").count() == len(ODD) and scored.columns.count("predicted") == 1
+    assert quality_crf.keep_good(odd, chain).columns == odd.columns
+    assert quality_crf.score_documents(odd.limit(0), chain).count() == 0
+
+
+def test_held_out_labels_change_nothing(spark):
+    docs, labels = read(spark, "documents"), read(spark, "labels")
+    turned = labels.withColumn("quality", (rest_class("doc_id", 3) == 1).cast("int") * (1 - labels["quality"]) + (rest_class("doc_id", 3) != 1).cast("int") * labels["quality"])
+    a, b = quality_crf.fit(docs, labels, rounds=5), quality_crf.fit(docs, turned, rounds=5)
+    assert np.array_equal(a.weights, b.weights) and np.array_equal(a.transitions, b.transitions)
+
+
+def test_no_labels(spark, odd):
+    none = spark.createDataFrame([], "doc_id long, quality int")
+    chain = quality_crf.fit(odd, none)
+    assert {r.quality_score for r in quality_crf.score_documents(odd, chain).collect()} == {0.5}
+    assert decision_list.fit(odd, none) == []
+    nulls = spark.createDataFrame([(1, None), (None, 1)], "doc_id long, quality int")
+    assert decision_list.fit(odd, nulls) == [] and quality_crf.fit(odd, nulls).weights.any() == False  # noqa: E712
+
+
+# decision list
+
+
+def plain_counts(text):
+    import re
+
+    text = text or ""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    windows = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
+    often = Counter(windows)
+    lines, seen, dup = text.split("\n"), set(), 0
+    for line in lines:
+        if re.search(r"[^\x20\x09-\x0D]", line):
+            dup += line in seen
+            seen.add(line)
+    return (len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), dup, len({i + k for i, w in enumerate(windows) if often[w] > 1 for k in range(3)}))
+
+
+@given(st.none() | st.text() | st.text(alphabet="ab \n\t\x0b\x1c  é#|", max_size=60))
+def test_counts_by_definition(text):
+    assert decision_list.text_counts(text)[:5] == plain_counts(text)
+
+
+def test_rules_find_a_planted_conjunction():
+    rng = np.random.default_rng(2)
+    x = {"a": rng.random(3000), "b": rng.random(3000), "c": rng.random(3000)}
+    bad = ((x["a"] > 0.7) & (x["b"] <= 0.4)) | (x["c"] > 0.95)
+    rules = decision_list.learn(x, bad)
+    said = np.zeros(3000, bool)
+    for terms in rules:
+        said |= decision_list._covers(terms, x, 3000)
+    assert (said == bad).mean() > 0.98 and len(rules) >= 2 and all(rules)
+    assert decision_list.learn(x, np.zeros(3000, bool)) == [] and decision_list.learn({k: v[:0] for k, v in x.items()}, bad[:0]) == []
+
+
+def test_decision_list_query(spark, odd):
+    found = queries.queries()["op5_decision_list"](spark, DATA).toPandas()
+    docs = read(spark, "documents").toPandas().set_index("doc_id")["text"]
+    assert len(found) == len(docs)
+    for r in found.itertuples():
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == plain_counts(docs[r.doc_id])
+    assert (found["base_failed"] == ((found["n_words"] < 50) | (100 * found["n_repeat_words"] > 50 * found["n_words"]))).all()
+    assert not (found["base_failed"] & found["kept"]).any()
+    held = found.merge(read(spark, "labels").filter(rest_class("doc_id", 3) == 1).toPandas(), on="doc_id")
+    held = held[~held["base_failed"]]
+    assert (held["kept"] == (held["quality"] == 1)).mean() > 0.95
+    rules = [[decision_list.Term("symbols_a_word", True, 0.2)], [decision_list.Term("n_words", False, 10.0), decision_list.Term("upper_share", True, 0.5)]]
+    rows = decision_list.apply_rules(odd, rules).collect()
+    assert len(rows) == len(ODD) and not any(r.kept for r in rows if r.n_words < 50)
+    assert decision_list.apply_rules(odd.limit(0), rules).count() == 0
+    assert "symbols_a_word > 0.2" in str(rules[0][0])
+
+
+# network
+
+
+def test_backpropagation_is_the_gradient():
+    rng = np.random.default_rng(3)
+    net = byte_gru.Network.fresh(["a", "b", "c"], 3)
+    for part in ("ahead", "back"):
+        d = getattr(net, part)
+        d.inputs, d.states = d.inputs.astype(np.float64), d.states.astype(np.float64)
+    net.out, net.bias = net.out.astype(np.float64), net.bias.astype(np.float64)
+    windows = rng.integers(0, 4, (5, 9)).astype(np.uint8)
+    language, filled = np.array([0, 1, 2, 0, 1]), np.array([9, 9, 4, 9, 2])
+
+    def loss():
+        p = net.probabilities(windows)
+        own = np.log(p[:, language, np.arange(5)])
+        return -((np.arange(9)[:, None] >= 9 - filled) / filled * own).sum() / 5
+
+    for p, g in zip(net.parts(), net.gradients(windows, language, filled)):
+        for _ in range(6):
+            at = tuple(rng.integers(0, min(n, 4)) for n in p.shape)
+            kept, p[at] = p[at], p[at] + 1e-2
+            up = loss()
+            p[at] = kept - 1e-2
+            down = loss()
+            p[at] = kept
+            assert abs((up - down) / 2e-2 - g[at]) < 2e-4
+
+
+def test_pooling_is_the_mean_of_all_positions():
+    net = byte_gru.Network.fresh(["a", "b"], 4)
+    for text in ("short", "x" * byte_gru.WINDOW, "ab é " * 100):
+        raw = np.frombuffer(text.encode(), np.uint8)
+        total = np.zeros(2)
+        for s in range(0, len(raw), byte_gru.WINDOW):
+            part = raw[s : s + byte_gru.WINDOW]
+            window = np.zeros((1, byte_gru.WINDOW), np.uint8)
+            window[0, byte_gru.WINDOW - len(part) :] = part
+            total += net.probabilities(window)[byte_gru.WINDOW - len(part) :, :, 0].sum(axis=0)
+        assert np.allclose(byte_gru.pooled(net, ["other", text, "x"])[1], total / len(raw), atol=1e-5)
+
+
+def test_language_is_learned(spark, odd):
+    docs = read(spark, "documents")
+    net = byte_gru.fit(docs, sample_rows=600, steps=150)
+    found = byte_gru.identify(docs, net).join(docs.select("doc_id", "lang"), "doc_id").filter(rest_class("doc_id", 5) == 0).toPandas()
+    assert len(found) > 100 and (found["lang_pred"] == found["lang"]).mean() > 0.97 and found["score"].between(0, 1).all()
+    rows = byte_gru.identify(odd, net).collect()
+    assert len(rows) == len(ODD)
+    said = {r.doc_id: r for r in rows}
+    for k in (1, 2, 3, 4):
+        assert (said[k].lang_pred, said[k].score) == ("und", 0.0)
+    assert said[5].lang_pred in net.languages and byte_gru.identify(odd.limit(0), net).count() == 0
+    nothing = docs.withColumn("lang", docs["lang"].substr(100, 1)).limit(0)
+    assert byte_gru.fit(nothing) is None
+    assert {r.lang_pred for r in byte_gru.identify(odd, None).collect()} == {"und"}
