@@ -15,7 +15,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -137,13 +136,13 @@ def pack_pieces(pieces: DataFrame, capacity: int = 1024, group_pieces: int = GRO
     spread = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id()), F.lit(groups))
     schema = f"{PIECES}, sequence_id long, offset long"
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["doc_id", "piece"], kind="stable", ignore_index=True)
+    def run(key: tuple, rows: pa.Table) -> pa.Table:  # Arrow, as pandas would make floats of ids beside a null
+        rows = rows.drop_columns(["spread"]).sort_by([(c, "ascending") for c in ("doc_id", "piece", "ids_crc32", "length")])
         bins, offsets = best_two_fit(rows["length"].to_numpy(), capacity)
-        return rows.drop(columns="spread").assign(sequence_id=bins * groups + int(key[0]), offset=offsets)
+        return rows.append_column("sequence_id", pa.array(bins * groups + key[0].as_py())).append_column("offset", pa.array(offsets))
 
     importable(pieces.sparkSession)
-    return pieces.withColumn("spread", spread).groupBy("spread").applyInPandas(run, schema)
+    return pieces.withColumn("spread", spread).groupBy("spread").applyInArrow(run, schema)
 
 
 def pack_documents(docs: DataFrame, capacity: int = 1024, end_id: int = 2, vocabulary: str | None = None) -> DataFrame:

@@ -2,6 +2,7 @@ import json
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -15,7 +16,7 @@ TEXTS = ["", None, "a", "Hello, world!\n\n  two", "x" * 5000, "déjà vu " * 900
 
 @pytest.fixture(scope="module")
 def docs(spark):
-    rows = [(k, t, "clash", 1) for k, t in enumerate(TEXTS)] + [(None, "no id", "clash", 2), (3, "again 3", None, None)]
+    rows = [(k, t, "clash", 1) for k, t in enumerate(TEXTS)] + [(None, "no id", "clash", 2), (3, "again 3", None, None), (2**62 + 1, "a large id", None, None)]
     return spark.createDataFrame(rows, "doc_id long, text string, length string, piece int")
 
 
@@ -85,7 +86,10 @@ def test_best_two_fit_replaces_the_smallest():
 
 
 def test_two_fit_packing(spark, docs, encode):
-    found = two_fit_packing.pack_documents(docs, capacity=64).toPandas()
+    rows = two_fit_packing.pack_documents(docs, capacity=64).collect()
+    found = pd.DataFrame([r.asDict() for r in rows]).astype({"doc_id": object})
+    assert 2**62 + 1 in {r.doc_id for r in rows}
+    found["doc_id"] = [r.doc_id for r in rows]
     ids = {(r.doc_id, r.text): encode(r.text) for r in docs.collect()}
     assert found["length"].sum() == sum(map(len, ids.values()))
     for (doc_id, _), want in ids.items():
