@@ -165,23 +165,26 @@ def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFra
     return docs.select(_node().alias("node"), "text").mapInArrow(run, "node binary, n long, keys array<long>")
 
 
-def _among(df: DataFrame, keys: DataFrame) -> DataFrame:
-    """The rows whose node is among the keys, a written table; sent to all executors only if they are few."""
-    if keys.count() <= BROADCAST_KEYS:
-        keys = F.broadcast(keys)
-    return df.join(keys, "node", "left_semi")
+def _few(keys: DataFrame) -> DataFrame:
+    """A written table of keys; to be sent to all executors if it is small, else a join shuffles it."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
 
 
-def verified(pairs: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) of nodes, a written table, whose texts are alike enough."""
-    nodes = lasting(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
-    texts = _among(docs.select(_node().alias("node"), "text"), nodes).groupBy("node").agg(F.first("text").alias("text"))
-    texts = lasting(texts)
-    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+def texts_of(ids: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """id and text of each of the ids, whose hashes are in ``nodes`` (id, node)."""
+    wanted = lasting(nodes.select("id", "node").join(_few(lasting(ids)), "id", "left_semi"))
+    found = docs.select(_node().alias("node"), "text").join(_few(wanted), "node")
+    return lasting(found.groupBy("id").agg(F.first("text").alias("text")))
+
+
+def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of ids, a written table, whose texts are alike enough."""
+    texts = texts_of(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), nodes, docs)
+    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        kept: dict[bytes, tuple] = {}
+        kept: dict[int, tuple] = {}
         for batch in slices(batches, 250):
             a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             texts = dict(zip(a, batch.column(2).to_pylist())) | dict(zip(b, batch.column(3).to_pylist()))
@@ -196,82 +199,76 @@ def verified(pairs: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
             kept = {k: v for k, v in kept.items() if k in again}
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(alike), batch.column(1).filter(alike)], names=["a", "b"])
 
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary")
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node and comp, the least node that it is linked to, of each node of the edges (a, b).
+    """id and comp, the least id that it is linked to, of each id of the edges (a, b).
 
-    Large-star and small-star steps in turn, until the edges are stars.
+    Large-star and small-star steps in turn, until every component is a star around its least id.
     """
-    edges = edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    edges, before = lasting(edges), None
+    edges = lasting(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     while True:
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before = now
+        several = edges.groupBy("u").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("u")
+        inner = edges.select("u").join(edges.select(F.col("v").alias("u")), "u", "left_semi")
+        if not several.union(inner).take(1):
+            return edges.select(F.col("u").alias("id"), F.col("v").alias("comp")).union(edges.select("v", "v").distinct())
         around = edges.union(edges.select("v", "u")).toDF("x", "y")
         least = around.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m"))
         large = around.join(least, "x").filter("y > x").select(F.col("y").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(least, "u")
-        small = joined.select("u", F.col("m").alias("v")).union(joined.filter("v <> m").select("v", "m")).distinct()
-        edges = lasting(small)
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("comp")).union(edges.select("v", "v").distinct())
-
-
-def _pairs(joined: DataFrame, similarity: float) -> DataFrame:
-    """Distinct pairs a, b of rows with node, n, leader and leader_n, but those whose sizes rule them out."""
-    large = F.greatest("n", "leader_n")
-    return joined.filter((F.col("node") != F.col("leader")) & (F.least("n", "leader_n") >= F.lit(similarity) * large - 1e-6)).select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
+        edges = lasting(joined.select("u", F.col("m").alias("v")).union(joined.filter("v <> m").select("v", "m")).distinct())
 
 
 def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """node (of a text) and comp, its class, of each text that is like another; both 128-bit hashes."""
+    """node (the 128-bit hash of a text) and comp, a number of its class, of each text."""
     signed = signatures(docs)
-    texts = lasting(signed.groupBy("node").agg(F.first("n").alias("n"), F.first("keys").alias("keys")).filter("n > 0"))
-    members = texts.select("node", "n", F.explode("keys").alias("key"))
-    leaders = members.groupBy("key").agg(F.min(F.struct("node", "n")).alias("m"), F.count(F.lit(1)).alias("size")).filter("size > 1").select("key", F.col("m.node").alias("leader"), F.col("m.n").alias("leader_n"))
+    texts = signed.groupBy("node").agg(F.first("n").alias("n"), F.first("keys").alias("keys"))
+    texts = lasting(texts.withColumn("id", F.monotonically_increasing_id()))  # written, so that the numbers stay
+    members = texts.filter("n > 0").select("id", F.explode("keys").alias("key"))
+    leaders = members.groupBy("key").agg(F.min("id").alias("leader"), F.count(F.lit(1)).alias("size")).filter("size > 1").select("key", "leader")
     shared = lasting(members.join(leaders, "key"))
-    links = lasting(verified(lasting(_pairs(shared, similarity)), docs, similarity))
+    pairs = lasting(shared.filter("id <> leader").select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct())
+    links = lasting(verified(pairs, texts, docs, similarity))
     classes = lasting(components(links))
     # what is left: the members of buckets that still hold several classes
-    placed = shared.join(classes, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    placed = shared.join(classes, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     mixed = placed.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 <> c1").select("key")
-    left = lasting(placed.join(mixed, "key", "left_semi").select("node", "leader", "n", "comp").distinct())
-    if not left.take(1):
-        return classes
-    more = lasting(linked_within_groups(left, docs, similarity))
-    return lasting(components(links.union(more))) if more.take(1) else classes
+    left = lasting(placed.join(mixed, "key", "left_semi").select("id", "leader", "comp").distinct())
+    if left.take(1):
+        more = lasting(linked_within_groups(left, texts, docs, similarity))
+        if more.take(1):
+            classes = lasting(components(links.union(more)))
+    return texts.select("id", "node").join(classes, "id", "left").select("node", F.coalesce("comp", "id").alias("comp"))
 
 
-def linked_within_groups(left: DataFrame, docs: DataFrame, similarity: float, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
-    """Pairs (a, b) of nodes of different classes that are alike, of those that buckets join, by whatever chain.
+def linked_within_groups(left: DataFrame, texts: DataFrame, docs: DataFrame, similarity: float, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+    """Pairs (a, b) of ids of different classes that are alike, of those that buckets join, by whatever chain.
 
-    left: node, leader, n, comp. A group of nodes is cut by hash into blocks of bounded size, and each
-    pair of blocks is searched in a task of its own, which gives only the links that it finds.
+    left: id, leader, comp; texts: id, node, n. A group of ids is cut by hash into blocks of bounded size,
+    and each pair of blocks is searched in a task of its own, which gives only the links that it finds.
     """
-    nodes = lasting(left.groupBy("node").agg(F.first("n").alias("n"), F.first("comp").alias("comp")))
-    groups = lasting(components(left.select(F.col("node").alias("a"), F.col("leader").alias("b"))).select("node", F.col("comp").alias("group")))
-    placed = nodes.join(groups, "node")
+    members = lasting(left.groupBy("id").agg(F.first("comp").alias("comp")))
+    groups = components(left.select(F.col("id").alias("a"), F.col("leader").alias("b"))).select("id", F.col("comp").alias("group"))
+    placed = lasting(members.join(groups, "id").join(texts.select("id", "n"), "id"))
     sizes = placed.groupBy("group").agg(F.ceil(F.sum("n") / block_shingles).cast("int").alias("blocks"))
-    texts = _among(docs.select(_node().alias("node"), "text"), nodes.select("node")).groupBy("node").agg(F.first("text").alias("text"))
-    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    copies = placed.join(sizes, "group").join(texts, "node").withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    paired = copies.select("group", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "comp", "text")
+    block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    copies = placed.join(sizes, "group").join(texts_of(members.select("id"), texts, docs), "id")
+    copies = copies.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    paired = copies.select("group", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "comp", "text")
 
     def search(rows: pa.Table) -> pa.Table:
         rows = rows.combine_chunks()
-        names, classes = rows["node"].to_pylist(), rows["comp"].to_pylist()
+        names, classes = rows["id"].to_pylist(), rows["comp"].to_pylist()
         kinds = {c: k for k, c in enumerate(dict.fromkeys(classes))}
         kind, side = np.array([kinds[c] for c in classes]), rows["block"].to_numpy() == rows["j"].to_numpy()
         same = bool((rows["i"].to_numpy() == rows["j"].to_numpy()).all())
         found = cross_links([*rows["text"].to_pylist()], kind, None if same else side, similarity)
-        return pa.table({"a": pa.array([names[x] for x, _ in found], pa.binary()), "b": pa.array([names[y] for _, y in found], pa.binary())})
+        return pa.table({"a": pa.array([names[x] for x, _ in found], pa.int64()), "b": pa.array([names[y] for _, y in found], pa.int64())})
 
     importable(docs.sparkSession)
-    return paired.groupBy("group", "i", "j").applyInArrow(search, "a binary, b binary")
+    return paired.groupBy("group", "i", "j").applyInArrow(search, "a long, b long")
 
 
 def cross_links(texts: list[str | None], kind: np.ndarray, side: np.ndarray | None, similarity: float) -> list[tuple[int, int]]:
@@ -298,7 +295,7 @@ def cross_links(texts: list[str | None], kind: np.ndarray, side: np.ndarray | No
         m = high - low
         where = np.arange(int(m.sum())) - np.repeat(np.cumsum(m) - m, m) + np.repeat(low, m)
         both = np.bincount(docs[where], weights=np.minimum(counts[where], np.repeat(own_counts, m)), minlength=len(texts))
-        alike = (both >= similarity * (n + n[y] - both)) & (kind != kind[y])
+        alike = (both / np.maximum(n + n[y] - both, 1) >= similarity) & (kind != kind[y])
         if side is not None:
             alike &= side != side[y]
         # of two that both look up, the later one reports
@@ -319,7 +316,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     """
     classes = near_classes(docs, similarity)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _node().alias("node"))
-    rows = lasting(rows.join(classes, "node", "left").select("doc_id", F.coalesce("comp", "node").alias("comp")))
+    rows = lasting(rows.join(classes, "node").select("doc_id", "comp"))
     ids = rows.groupBy("comp").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
     return rows.join(ids, "comp").select("doc_id", "class_id", "class_size")
 
@@ -334,7 +331,7 @@ def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     comp, node = (next(f"_{name}{k}" for k in range(99) if f"_{name}{k}" not in taken) for name in ("comp", "node"))
     rank = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col(node))
     rows = docs.withColumn(node, _node())
-    placed = rows.select("doc_id", node).join(classes.select(F.col("node").alias(node), "comp"), node, "left").withColumn(comp, F.coalesce("comp", node)).drop("comp")
+    placed = rows.select("doc_id", node).join(classes.select(F.col("node").alias(node), F.col("comp").alias(comp)), node)
     placed = lasting(placed)
     first = placed.groupBy(comp).agg(F.min(rank).alias("m")).select(F.col(f"m.{node}").alias(node), F.col("m.doc_id").alias("_stays"))
     first = lasting(first)
@@ -344,3 +341,21 @@ def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     if placed.groupBy(node, "doc_id").count().filter("count > 1").take(1):
         kept = kept.dropDuplicates([node, "doc_id"])
     return kept.drop(node)
+
+
+#: The same classes by comparing all texts that share a shingle, and following links.
+SQL = """
+with recursive
+w as (select doc_id, [x for x in regexp_split_to_array(lower(coalesce(text, '')), '[ \\t\\n\\r\\f\\v]+') if x <> ''] as ws from documents),
+s as (select doc_id, unnest(case when len(ws) >= 5 then [ws[i : i + 4] for i in range(1, len(ws) - 3)] when len(ws) > 0 then [ws] else [] end) as g from w),
+c as (select doc_id, g, count(*) as n from s group by all),
+t as (select doc_id, sum(n) as n from c group by all),
+p as (select a.doc_id as x, b.doc_id as y, sum(least(a.n, b.n)) as same from c a join c b on a.g = b.g and a.doc_id < b.doc_id group by all),
+l as (
+    select x, y from p join t tx on tx.doc_id = x join t ty on ty.doc_id = y
+    where cast(same as double) / cast(tx.n + ty.n - same as double) >= cast(0.8 as double)
+    union select a.doc_id, b.doc_id from documents a join documents b on coalesce(a.text, '') = coalesce(b.text, '') and a.doc_id < b.doc_id),
+e as (select x, y from l union all select y, x from l),
+r(doc_id, other) as (select doc_id, doc_id from documents union select r.doc_id, e.y from r join e on r.other = e.x)
+select doc_id, min(other) as class_id, count(*) as class_size from r group by doc_id
+"""

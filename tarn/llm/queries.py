@@ -104,4 +104,4 @@ from e group by conv_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_chat_format": CHAT_SQL, "op9_line_windows": line_windows.SQL}
+    return {"op3_bag_min_hash": bag_min_hash.SQL, "op8_chat_format": CHAT_SQL, "op9_line_windows": line_windows.SQL}
