@@ -126,7 +126,7 @@ def test_links_within_groups_in_small_blocks(spark, copies, monkeypatch):
     """Blocks of a few texts give the classes that brute force gives."""
     monkeypatch.setattr(near, "BLOCK_SHINGLES", 600)
     monkeypatch.setattr(near.linked_within_groups, "__defaults__", (600,))
-    monkeypatch.setattr(near, "verified", lambda pairs, docs, similarity: pairs.limit(0))  # leaders find nothing
+    monkeypatch.setattr(near, "verified", lambda pairs, nodes, docs, similarity: pairs.limit(0))  # leaders find nothing
     texts = copies[:140]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     rows = {r.doc_id: r.class_id for r in near.near_duplicates(docs).collect()}
@@ -146,7 +146,7 @@ def test_components(spark):
     for a, b in edges:
         a, b = sorted((root(a), root(b)))
         parent[b] = a
-    found = {r.node: r.comp for r in near.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    found = {r.id: r.comp for r in near.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     want = {x: root(x) for x in parent}
     sizes = Counter(want.values())
     assert found == {x: c for x, c in want.items() if sizes[c] > 1}
@@ -161,7 +161,7 @@ ITEMS = [
     (2, "Name the largest planet of our solar system, please. The largest planet is jupiter by a wide margin."),
     (3, "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu"),
     (4, "too short"), (5, None), (6, ""), (None, "An item without any id is an item like any other one. It can leak as well."),
-    (7, "Name the smallest planet of our solar system, please. The smallest planet is mercury by a small margin."),
+    (7, "Which metal is liquid at room temperature and was used in old thermometers? It is mercury, also named quicksilver."),
 ]
 FILLER = " ".join(f"filler{k % 97}" for k in range(400))
 
