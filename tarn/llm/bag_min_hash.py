@@ -227,7 +227,9 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     texts = signed.groupBy("node").agg(F.first("n").alias("n"), F.first("keys").alias("keys"))
     texts = lasting(texts.withColumn("id", F.monotonically_increasing_id()))  # written, so that the numbers stay
     members = texts.filter("n > 0").select("id", F.explode("keys").alias("key"))
+    # written before the join, so that adaptive execution can split a bucket that holds very many
     leaders = members.groupBy("key").agg(F.min("id").alias("leader"), F.count(F.lit(1)).alias("size")).filter("size > 1").select("key", "leader")
+    leaders = lasting(leaders)
     shared = lasting(members.join(leaders, "key"))
     pairs = lasting(shared.filter("id <> leader").select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct())
     links = lasting(verified(pairs, texts, docs, similarity))
@@ -235,7 +237,7 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     # what is left: the members of buckets that still hold several classes
     placed = shared.join(classes, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     mixed = placed.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 <> c1").select("key")
-    left = lasting(placed.join(mixed, "key", "left_semi").select("id", "leader", "comp").distinct())
+    left = lasting(placed.join(lasting(mixed), "key", "left_semi").select("id", "leader", "comp").distinct())
     if left.take(1):
         more = lasting(linked_within_groups(left, texts, docs, similarity))
         if more.take(1):
@@ -318,7 +320,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _node().alias("node"))
     rows = lasting(rows.join(classes, "node").select("doc_id", "comp"))
     ids = rows.groupBy("comp").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
-    return rows.join(ids, "comp").select("doc_id", "class_id", "class_size")
+    return rows.join(lasting(ids), "comp").select("doc_id", "class_id", "class_size")
 
 
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
