@@ -56,7 +56,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """64-bit hashes of words, kept while there are not too many."""
 
-    most = 1_000_000
+    most = 200_000
 
     def __missing__(self, word: bytes) -> int:
         import xxhash

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm.common import importable, lasting, slices
+from tarn.llm.common import importable, lasting, series_slices, slices
 
 SHARD_ITEMS = 20_000
 SHARD_CHARS = 32_000_000
@@ -273,11 +273,11 @@ def _leaks_any(sent, threshold: float, least_question: float, least_answer: floa
     """A function of a text column: does it leak an item of the shard?"""
 
     def leaky(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for part in texts:
-            flags = np.zeros(len(part), bool)
-            for s in range(0, len(part), 512):
-                found = sent.value.leaks(part.iloc[s : s + 512].tolist(), threshold, least_question, least_answer)
-                flags[[s + k for k, *_ in found]] = True
+        for part, some in series_slices(texts):
+            flags, start = np.zeros(len(part), bool), 0
+            for x in some:
+                flags[[start + k for k, *_ in sent.value.leaks(x, threshold, least_question, least_answer)]] = True
+                start += len(x)
             yield pd.Series(flags)
 
     return F.pandas_udf(leaky, "boolean")

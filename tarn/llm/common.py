@@ -3,18 +3,24 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows that a Python worker turns into Python objects at a time.
 SLICE_ROWS = 512
+#: Bytes of a batch sent to a Python worker: held once by the JVM and once or twice by the worker.
+BATCH_BYTES = 8 * 1024 * 1024
+_BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+_BATCH_DEFAULTS = ("67108864", "67108864b", "64MB")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,7 +29,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def importable(spark: SparkSession) -> None:
-    """Let Python workers import this package from where the driver did, if they see that folder."""
+    """Let Python workers import this package from where the driver did, if they see that folder.
+
+    Batches sent to them are of ``BATCH_BYTES`` at most, unless the session has set that itself.
+    """
+    if spark.conf.get(_BATCH_CONF) in _BATCH_DEFAULTS:
+        spark.conf.set(_BATCH_CONF, str(BATCH_BYTES))
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     env = spark.sparkContext.environment
     known = env.get("PYTHONPATH", "")
@@ -62,8 +73,27 @@ def rest_class(doc_id: str | Column, divisor: int) -> Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit("null")).cast("binary")) % divisor
 
 
+def trim() -> None:
+    """Give memory that earlier work has freed back to the system: Python workers are used again and again."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # the C library has no such call
+        pass
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
     """The batches in slices of so many rows at most."""
+    trim()
     for batch in batches:
         for start in range(0, batch.num_rows, rows):
             yield batch.slice(start, rows)
+    trim()
+
+
+def series_slices(parts: Iterator[pd.Series], rows: int = SLICE_ROWS) -> Iterator[tuple[pd.Series, list[list]]]:
+    """Each series, and its values in lists of so many at most."""
+    trim()
+    for part in parts:
+        yield part, [part.iloc[k : k + rows].tolist() for k in range(0, len(part), rows)]
+    trim()

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm.common import importable, rest_class, slices
+from tarn.llm.common import importable, rest_class, series_slices, slices
 
 #: Classes of bytes that are counted in each line.
 CLASSES = {
@@ -183,8 +183,8 @@ def quality_function(chain: Chain):
     """The score of a text column."""
 
     def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for part in texts:
-            yield pd.Series(np.concatenate([score_texts(chain, part.iloc[k : k + 512].tolist()) for k in range(0, len(part), 512)] or [np.empty(0)]))
+        for _, some in series_slices(texts):
+            yield pd.Series(np.concatenate([*(score_texts(chain, x) for x in some), np.empty(0)]))
 
     # not deterministic for Spark: else a filter on the score would compute it twice
     return F.pandas_udf(score, "double").asNondeterministic()
