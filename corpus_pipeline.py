@@ -30,8 +30,13 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark item."""
-    return bm25_wand.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    """Documents without a benchmark item; of those, without later occurrences of 50-word runs.
+
+    Runs go after whole copies and leaks have gone, as a copy or a leak without its runs would no
+    longer be found, and what is left of it would stay.
+    """
+    clean = lasting(bm25_wand.decontaminate(docs, table(spark, sf_dir, "benchmark")))
+    return line_windows.dedup_word_runs(clean)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

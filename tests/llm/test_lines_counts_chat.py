@@ -1,5 +1,7 @@
 import hashlib
 import math
+import random
+import re
 from collections import Counter
 
 import duckdb
@@ -158,3 +160,56 @@ def test_unknown_parts_fail():
     with pytest.raises(ValueError):
         chat_format.PartVisitor().turn("user", [{"type": "video"}])
     assert Counter(CONTROL_STRINGS).most_common(1)[0][1] == 1
+
+
+def plain_run_dedup(docs):
+    """Brute force over (id, text), ids distinct."""
+    split, at, gone = {d: re.findall(r"[^ \t\n\r\f\x0b]+[ \t\n\r\f\x0b]*", t or "") for d, t in docs}, {}, set()
+    for d in sorted(split, key=lambda d: (d is not None, d or 0)):
+        words = [w.rstrip(" \t\n\r\f\x0b") for w in split[d]]
+        for p in range(len(words) - 49):
+            at.setdefault(tuple(words[p : p + 50]), []).append((d, p))
+    for places in at.values():
+        f, fp = places[0]
+        for d, p in places[1:]:
+            gone |= {(d, q) for q in range(max(p, fp + 50) if d == f else p, p + 50)}
+    out = {}
+    for d, t in docs:
+        kept, last = [re.match(r"[ \t\n\r\f\x0b]*", t or "").group()], ""
+        for q, w in enumerate(split[d]):
+            if (d, q) not in gone:
+                kept.append("\n" * ("\n" in last) + w)
+            last = w if (d, q) in gone else ""
+        out[d] = None if t is None else "".join(kept)
+    return out
+
+
+def test_word_runs_of_passages_inside_lines(spark):
+    """A passage of 60 words within one line of different documents, which three-line windows can't see."""
+    passage, own = " ".join(f"p{k}" for k in range(60)), lambda d, n: " ".join(f"w{d}x{k}" for k in range(n))
+    cases = [
+        (1, own(1, 80) + " " + passage + " " + own(1, 30)), (2, own(2, 20) + "\n" + own(3, 30) + " " + passage + "\n" + own(4, 70)), (3, "  " + passage.replace("p30 ", "p30\t\n ") + " " + own(5, 40)),
+        (4, own(6, 90)), (5, own(7, 20) + " " + " ".join(passage.split()[:49])), (6, passage), (None, None), (7, ""), (8, " ".join(["v"] * 130)), (9, own(9, 60) + "\n" + own(9, 60) + " end"), (10, f"{own(10, 25)} " * 5),
+    ]
+    docs = spark.createDataFrame([(d, t, 5) for d, t in cases], "doc_id long, text string, n_chars long")
+    assert {r.doc_id: r.text for r in line_windows.dedup_line_windows(docs).collect()} == dict(cases)
+    found = line_windows.dedup_word_runs(docs)
+    rows = {r.doc_id: r for r in found.collect()}
+    assert found.columns == docs.columns and {d: r.text for d, r in rows.items()} == plain_run_dedup(cases)
+    assert rows[2].text == own(2, 20) + "\n" + own(3, 30) + " \n" + own(4, 70) and rows[3].text == "  " + own(5, 40) and rows[6].text == ""
+    assert all(r.n_chars == (5 if r.text == dict(cases)[d] else len(r.text)) for d, r in rows.items())
+    assert line_windows.dedup_word_runs(docs.limit(0)).count() == 0
+
+
+@settings(max_examples=6, deadline=None)
+@given(st.integers(0, 10**6))
+def test_word_runs_by_brute_force(spark, seed):
+    rng = random.Random(seed)
+    base = [rng.choice("abcdefgh") + str(rng.randrange(40)) for _ in range(400)]
+    texts = []
+    for _ in range(8):
+        words = [w for _ in range(rng.randrange(4)) for s in [rng.randrange(400)] for w in [*base[s : s + rng.randrange(120)], *(f"u{rng.random()}" for _ in range(rng.randrange(20)))]]
+        texts.append("".join(w + rng.choice([" ", " ", "\n", "  "]) for w in words))
+    cases = list(enumerate([*texts, texts[0], " ".join((base[:7] * 20)[: rng.randrange(40, 140)])]))
+    docs = spark.createDataFrame(cases, "doc_id long, text string")
+    assert {r.doc_id: r.text for r in line_windows.dedup_word_runs(docs).collect()} == plain_run_dedup(cases)

@@ -60,3 +60,14 @@ def test_queries_give_the_columns_of_their_contracts(spark):
     }
     for name, columns in want.items():
         assert queries.queries()[name](spark, DATA).columns == columns
+
+
+def test_pipeline_removes_passages_inside_lines(spark):
+    """A passage of 60 words inside lines of different documents stays in one of them."""
+    passage = " ".join(f"p{k}" for k in range(60))
+    texts = [" ".join(f"w{d}x{k}" for k in range(150)) + f" {passage} end{d}" for d in range(3)]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    for name, stage in corpus_pipeline.STAGES[1:4]:
+        docs = stage(spark, docs, DATA)
+    found = {r.doc_id: r.text for r in docs.collect()}
+    assert found == {0: texts[0], 1: texts[1].replace(passage + " ", ""), 2: texts[2].replace(passage + " ", "")}
