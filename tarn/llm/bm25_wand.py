@@ -6,7 +6,7 @@ length. Items lie in small blocks, and a term has a bound in each block where it
 a passage's terms are summed for each block, for many passages at once, and only blocks where they
 reach the threshold are walked, by WAND: the bounds of the terms up to the pivot say which item can
 reach it, and only that is scored. Items that do reach it are verified: the passage must hold enough
-of the question's word triples and of the answer's word pairs.
+of the question's word triples and of the answer's word pairs, or most of the whole item's triples.
 
 Passages are ``2 * stride`` words from every ``stride``-th word on; the stride is at least the longest
 item, so each run of words as long as an item is within one passage.
@@ -23,6 +23,7 @@ from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import chain, repeat
+from math import inf
 
 import numpy as np
 import pandas as pd
@@ -52,15 +53,21 @@ def words(text: str | None) -> list[bytes]:
 
 
 def question_and_answer(text: str) -> tuple[list[bytes], list[bytes]]:
-    """An item's words: what comes before and after its last answer mark, or else its last sentence, or else its last quarter."""
+    """An item's words: what comes before and after its last answer mark, or else its last sentences, or else its last quarter.
+
+    The last sentences are as few as have ``LEAST_WORDS``, if as many words are before them.
+    """
     marks = list(_ANSWER.finditer(text))
     if marks and (after := words(text[marks[-1].end() :])) and (before := words(text[: marks[-1].start()])):
         return before, after
-    sentences = [w for s in _SENTENCE.split(text) if (w := words(s))]
-    if len(sentences) > 1:
-        return [w for s in sentences[:-1] for w in s], sentences[-1]
     every = words(text)
-    cut = len(every) - max(1, len(every) // 4)
+    cut = len(every)
+    for sentence in reversed(_SENTENCE.split(text)):
+        cut -= len(words(sentence))
+        if len(every) - cut >= LEAST_WORDS:
+            break
+    if cut < LEAST_WORDS:
+        cut = len(every) - max(1, len(every) // 4)
     return every[:cut], every[cut:]
 
 
@@ -99,6 +106,7 @@ class Index:
         self.ids = [i for i, _ in items]
         texts = [words(t) for _, t in items]
         self.parts = [(grams(q, 3), grams(a, 2)) for q, a in (question_and_answer(t) for _, t in items)]
+        self.wholes = [grams(w, 3) for w in texts]
         self.stride = max([LEAST_STRIDE, *map(len, texts)])
         self.n_blocks = -(-len(items) // BLOCK)
         found: dict[bytes, list[tuple[int, float]]] = {}
@@ -173,8 +181,11 @@ class Index:
         reach = self.reach(np.zeros(len(terms), np.int64), np.array(terms, dtype=np.int64), 1)[0]
         return [x for b in np.flatnonzero(reach >= threshold) for x in self.search(terms, threshold, int(b))]
 
-    def leaks(self, texts: list[str | None], threshold: float, least_question: float, least_answer: float) -> list[tuple[int, int, float, float, float]]:
-        """(text, item, score, question and answer overlap) of verified items, the best passage of each."""
+    def leaks(self, texts: list[str | None], threshold: float, least_question: float, least_answer: float, least_whole: float = inf) -> list[tuple[int, int, float, float, float]]:
+        """(text, item, score, question and answer overlap) of verified items, the best passage of each.
+
+        Both overlaps are enough, or that of the whole item is.
+        """
         if not self.ids:
             return []
         split = [words(t) for t in texts]
@@ -208,7 +219,7 @@ class Index:
                 k, passage, terms, runs = terms_of[b]
                 for item, score in self.search(terms, threshold - 1e-9, item_block):
                     q, a = (overlap(p, passage, runs) for p in self.parts[item])
-                    if q >= least_question and a >= least_answer:
+                    if (q >= least_question and a >= least_answer) or overlap(self.wholes[item], passage, runs) >= least_whole:
                         best[k, item] = max(best.get((k, item), (0.0, 0.0, 0.0)), (score, q, a))
         return [(k, item, *x) for (k, item), x in sorted(best.items())]
 
@@ -240,10 +251,10 @@ def index_shards(benchmark: DataFrame, shard_items: int = SHARD_ITEMS, shard_cha
 
 
 #: Chance matches that reach such a score have none of the question's triples; edited copies keep a share.
-THRESHOLD, LEAST_QUESTION, LEAST_ANSWER = 0.5, 0.25, 0.25
+THRESHOLD, LEAST_QUESTION, LEAST_ANSWER, LEAST_WHOLE = 0.5, 0.25, 0.25, 0.55
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, least_question: float = LEAST_QUESTION, least_answer: float = LEAST_ANSWER) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, least_question: float = LEAST_QUESTION, least_answer: float = LEAST_ANSWER, least_whole: float = LEAST_WHOLE) -> DataFrame:
     """doc_id, item_id, score, question_overlap, answer_overlap of each verified leak.
 
     A row for each document row and item: the best passage. Null and empty texts have none; null ids
@@ -259,7 +270,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             for batch in slices(batches):
-                ids, found = batch.column(0).to_pylist(), sent.value.leaks(batch.column(1).to_pylist(), threshold, least_question, least_answer)
+                ids, found = batch.column(0).to_pylist(), sent.value.leaks(batch.column(1).to_pylist(), threshold, least_question, least_answer, least_whole)
                 rows = [(ids[k], sent.value.ids[item], *x) for k, item, *x in found]
                 cols = list(zip(*rows)) or [()] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), *[pa.float64()] * 3))], names=[x.split()[0] for x in schema.split(", ")])
@@ -269,23 +280,23 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
     return out if out is not None else docs.sparkSession.createDataFrame([], schema)
 
 
-def _leaks_any(sent, threshold: float, least_question: float, least_answer: float):
+def _leaks_any(sent, threshold: float, least_question: float, least_answer: float, least_whole: float):
     """A function of a text column: does it leak an item of the shard?"""
 
     def leaky(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for part, some in series_slices(texts):
             flags, start = np.zeros(len(part), bool), 0
             for x in some:
-                flags[[start + k for k, *_ in sent.value.leaks(x, threshold, least_question, least_answer)]] = True
+                flags[[start + k for k, *_ in sent.value.leaks(x, threshold, least_question, least_answer, least_whole)]] = True
                 start += len(x)
             yield pd.Series(flags)
 
     return F.pandas_udf(leaky, "boolean")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, least_question: float = LEAST_QUESTION, least_answer: float = LEAST_ANSWER) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, least_question: float = LEAST_QUESTION, least_answer: float = LEAST_ANSWER, least_whole: float = LEAST_WHOLE) -> DataFrame:
     """The documents without a verified leak, with all their columns; see ``find_leaks``."""
     importable(docs.sparkSession)
     for index in index_shards(benchmark):
-        docs = docs.filter(~_leaks_any(docs.sparkSession.sparkContext.broadcast(index), threshold, least_question, least_answer)("text"))
+        docs = docs.filter(~_leaks_any(docs.sparkSession.sparkContext.broadcast(index), threshold, least_question, least_answer, least_whole)("text"))
     return docs

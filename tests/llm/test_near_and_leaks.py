@@ -256,3 +256,17 @@ def test_no_items_and_no_documents(spark):
     docs = documents(spark)
     assert bm25.find_leaks(docs, benchmark.limit(0)).count() == 0 and bm25.find_leaks(docs.limit(0), benchmark).count() == 0
     assert bm25.decontaminate(docs, benchmark.limit(0)).count() == docs.count() and bm25.decontaminate(docs.limit(0), benchmark).count() == 0
+
+
+def test_short_last_sentences_and_cut_copies(spark):
+    """An item whose last sentence is a word or two is found without it, and so is one without its last quarter."""
+    text = "Seven travellers crossed the northern valley before winter and counted every bridge they saw on the road to town. How many were there in all? Nine."
+    q, a = bm25.question_and_answer(text)
+    assert a == b"how many were there in all nine".split() and q[-1] == b"town"
+    assert [len(x) for x in bm25.question_and_answer("one two three. four five six")] == [5, 1]
+    w = text.split()
+    copies = [text, " ".join(w[:-1]), " ".join(w[:-3]), " ".join(w[: len(w) - len(w) // 4]), " ".join(w[:8]), " ".join(reversed(w))]
+    docs = spark.createDataFrame(list(enumerate(copies)), "doc_id long, text string")
+    benchmark = spark.createDataFrame([(1, text), *((k + 2, f"{ITEMS[k][1]}") for k in (0, 1, 2))], "item_id long, text string")
+    assert sorted((r.doc_id, r.item_id) for r in bm25.find_leaks(docs, benchmark).collect()) == [(0, 1), (1, 1), (2, 1), (3, 1)]
+    assert sorted(r.doc_id for r in bm25.decontaminate(docs, benchmark).collect()) == [4, 5]
