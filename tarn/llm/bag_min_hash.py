@@ -15,8 +15,8 @@ bounded size, so no pair that shares a bucket is missed.
 
 Scale: exact copies count once from the start. What is shuffled is one signature per text, then
 (band key, text) rows; leaders are found by aggregation and joined back, never by gathering a bucket.
-Texts move only for candidates. Rounds are written to the shared folder; nothing reaches the driver
-but counts.
+Texts move only for candidates. Rounds are written to the shared folder, and deleted when what follows
+from them is; nothing reaches the driver but counts.
 """
 
 from __future__ import annotations
@@ -29,15 +29,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm.common import importable, lasting, slices
+from tarn.llm.common import forget, importable, lasting, slices
 
 WORDS = 5
 SIMILARITY = 0.8
-BANDS, ROWS = 20, 4
+#: The share of pairs at the very threshold that no band brings together, at most about.
+MISSED = 2.7e-5
 #: Keys are sent to every executor only if they are so few; else the join is shuffled.
 BROADCAST_KEYS = 500_000
-#: Shingles of a block of texts that are compared with another block's, about.
+#: Shingles and texts of a block that is compared with another, about.
 BLOCK_SHINGLES = 400_000
+BLOCK_TEXTS = 256
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _U = np.uint64
@@ -128,6 +130,13 @@ def bag_min_hash(text: np.ndarray, shingle: np.ndarray, weight: np.ndarray, n_te
     return best.reshape(n_texts, registers)
 
 
+def banding(similarity: float) -> tuple[int, int]:
+    """(bands, rows) by which hardly a pair of that similarity is missed: 20 of 4 at 0.8, 37 of 2 at 0.5."""
+    rows = 4 if similarity >= 0.75 else 3 if similarity >= 0.6 else 2
+    together = min(max(similarity, 0.05) ** rows, 1 - MISSED)
+    return max(1, round(float(np.log(MISSED) / np.log1p(-together)))), rows
+
+
 def band_keys(best: np.ndarray, bands: int, rows: int) -> np.ndarray:
     """(texts, bands) 64-bit keys, as signed integers."""
     bits = best[:, : bands * rows].copy().view(np.uint64).reshape(len(best), bands, rows)
@@ -149,7 +158,7 @@ def _node():
     return F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
 
 
-def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def signatures(docs: DataFrame, bands: int, rows: int) -> DataFrame:
     """node (the text's 128-bit hash), n (shingles with their counts; 0 without words) and keys of each row."""
     importable(docs.sparkSession)
 
@@ -172,13 +181,16 @@ def _few(keys: DataFrame) -> DataFrame:
 
 def texts_of(ids: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """id and text of each of the ids, whose hashes are in ``nodes`` (id, node)."""
-    wanted = lasting(nodes.select("id", "node").join(_few(lasting(ids)), "id", "left_semi"))
+    ids = lasting(ids)
+    wanted = lasting(nodes.select("id", "node").join(_few(ids), "id", "left_semi"))
     found = docs.select(_node().alias("node"), "text").join(_few(wanted), "node")
-    return lasting(found.groupBy("id").agg(F.first("text").alias("text")))
+    texts = lasting(found.groupBy("id").agg(F.first("text").alias("text")))
+    forget(ids, wanted)
+    return texts
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) of ids, a written table, whose texts are alike enough."""
+    """The pairs (a, b) of ids, a written table, whose texts are alike enough; written."""
     texts = texts_of(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), nodes, docs)
     both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
 
@@ -199,11 +211,13 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, similarity: fl
             kept = {k: v for k, v in kept.items() if k in again}
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(alike), batch.column(1).filter(alike)], names=["a", "b"])
 
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    found = lasting(both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long"))
+    forget(texts)
+    return found
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """id and comp, the least id that it is linked to, of each id of the edges (a, b).
+    """id and comp, the least id that it is linked to, of each id of the edges (a, b); written.
 
     Large-star and small-star steps in turn, until every component is a star around its least id.
     """
@@ -212,18 +226,21 @@ def components(edges: DataFrame) -> DataFrame:
         several = edges.groupBy("u").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("u")
         inner = edges.select("u").join(edges.select(F.col("v").alias("u")), "u", "left_semi")
         if not several.union(inner).take(1):
-            return edges.select(F.col("u").alias("id"), F.col("v").alias("comp")).union(edges.select("v", "v").distinct())
+            found = lasting(edges.select(F.col("u").alias("id"), F.col("v").alias("comp")).union(edges.select("v", "v").distinct()))
+            forget(edges)
+            return found
         around = edges.union(edges.select("v", "u")).toDF("x", "y")
         least = around.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m"))
         large = around.join(least, "x").filter("y > x").select(F.col("y").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(least, "u")
-        edges = lasting(joined.select("u", F.col("m").alias("v")).union(joined.filter("v <> m").select("v", "m")).distinct())
+        old, edges = edges, lasting(joined.select("u", F.col("m").alias("v")).union(joined.filter("v <> m").select("v", "m")).distinct())
+        forget(old)
 
 
 def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """node (the 128-bit hash of a text) and comp, a number of its class, of each text."""
-    signed = signatures(docs)
+    """node (the 128-bit hash of a text) and comp, a number of its class, of each text; written."""
+    signed = signatures(docs, *banding(similarity))
     texts = signed.groupBy("node").agg(F.first("n").alias("n"), F.first("keys").alias("keys"))
     texts = lasting(texts.withColumn("id", F.monotonically_increasing_id()))  # written, so that the numbers stay
     members = texts.filter("n > 0").select("id", F.explode("keys").alias("key"))
@@ -232,31 +249,39 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     leaders = lasting(leaders)
     shared = lasting(members.join(leaders, "key"))
     pairs = lasting(shared.filter("id <> leader").select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct())
-    links = lasting(verified(pairs, texts, docs, similarity))
-    classes = lasting(components(links))
+    links = verified(pairs, texts, docs, similarity)
+    classes = components(links)
+    forget(leaders, pairs)
     # what is left: the members of buckets that still hold several classes
     placed = shared.join(classes, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    mixed = placed.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 <> c1").select("key")
-    left = lasting(placed.join(lasting(mixed), "key", "left_semi").select("id", "leader", "comp").distinct())
+    mixed = lasting(placed.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 <> c1").select("key"))
+    left = lasting(placed.join(mixed, "key", "left_semi").select("id", "leader", "comp").distinct())
+    forget(shared, mixed)
     if left.take(1):
-        more = lasting(linked_within_groups(left, texts, docs, similarity))
+        more = linked_within_groups(left, texts, docs, similarity)
         if more.take(1):
-            classes = lasting(components(links.union(more)))
-    return texts.select("id", "node").join(classes, "id", "left").select("node", F.coalesce("comp", "id").alias("comp"))
+            old, classes = classes, components(links.union(more))
+            forget(old)
+        forget(more)
+    found = lasting(texts.select("id", "node").join(classes, "id", "left").select("node", F.coalesce("comp", "id").alias("comp")))
+    forget(links, left, classes, texts)
+    return found
 
 
-def linked_within_groups(left: DataFrame, texts: DataFrame, docs: DataFrame, similarity: float, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
-    """Pairs (a, b) of ids of different classes that are alike, of those that buckets join, by whatever chain.
+def linked_within_groups(left: DataFrame, texts: DataFrame, docs: DataFrame, similarity: float, block_shingles: int = BLOCK_SHINGLES, block_texts: int = BLOCK_TEXTS) -> DataFrame:
+    """Pairs (a, b) of ids of different classes that are alike, of those that buckets join, by whatever chain; written.
 
     left: id, leader, comp; texts: id, node, n. A group of ids is cut by hash into blocks of bounded size,
     and each pair of blocks is searched in a task of its own, which gives only the links that it finds.
     """
     members = lasting(left.groupBy("id").agg(F.first("comp").alias("comp")))
-    groups = components(left.select(F.col("id").alias("a"), F.col("leader").alias("b"))).select("id", F.col("comp").alias("group"))
-    placed = lasting(members.join(groups, "id").join(texts.select("id", "n"), "id"))
-    sizes = placed.groupBy("group").agg(F.ceil(F.sum("n") / block_shingles).cast("int").alias("blocks"))
+    groups = components(left.select(F.col("id").alias("a"), F.col("leader").alias("b")))
+    placed = lasting(members.join(groups.withColumnRenamed("comp", "group"), "id").join(texts.select("id", "n"), "id"))
+    blocks = F.greatest(F.ceil(F.sum("n") / block_shingles), F.ceil(F.count(F.lit(1)) / block_texts)).cast("int")
+    sizes = placed.groupBy("group").agg(blocks.alias("blocks"))
     block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    copies = placed.join(sizes, "group").join(texts_of(members.select("id"), texts, docs), "id")
+    bodies = texts_of(members.select("id"), texts, docs)
+    copies = placed.join(sizes, "group").join(bodies, "id")
     copies = copies.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     paired = copies.select("group", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "comp", "text")
 
@@ -270,14 +295,18 @@ def linked_within_groups(left: DataFrame, texts: DataFrame, docs: DataFrame, sim
         return pa.table({"a": pa.array([names[x] for x, _ in found], pa.int64()), "b": pa.array([names[y] for _, y in found], pa.int64())})
 
     importable(docs.sparkSession)
-    return paired.groupBy("group", "i", "j").applyInArrow(search, "a long, b long")
+    found = lasting(paired.groupBy("group", "i", "j").applyInArrow(search, "a long, b long"))
+    forget(members, groups, placed, bodies)
+    return found
 
 
 def cross_links(texts: list[str | None], kind: np.ndarray, side: np.ndarray | None, similarity: float) -> list[tuple[int, int]]:
     """Pairs of texts of different kinds (and different sides, if there are any) that are alike.
 
     A text gives one link to each other kind that it is linked to: the kind is one class already.
-    Texts of the commonest kind are only looked up; each other one looks its shingles up among all.
+    Texts of the commonest kind are only looked up. Without sides, each other one looks its shingles up
+    among all; with them, those of the one side do so on the other, and those of the other among
+    the commonest kind.
     """
     hashes = WordHashes()
     parts = []
@@ -286,24 +315,31 @@ def cross_links(texts: list[str | None], kind: np.ndarray, side: np.ndarray | No
         parts.append((text + s, shingle, weight))
     text, shingle, weight = (np.concatenate(x) for x in zip(*parts))
     n = np.bincount(text, weights=weight, minlength=len(texts))
-    order = np.argsort(shingle, kind="stable")
-    at, docs, counts = shingle[order], text[order], weight[order]
     cuts = np.searchsorted(text, np.arange(len(texts) + 1))
-    commonest = np.bincount(kind).argmax()
+    common = kind == np.bincount(kind).argmax()
+    order = np.argsort(shingle, kind="stable")
     found = []
-    for y in np.flatnonzero(kind != commonest):
-        own, own_counts = shingle[cuts[y] : cuts[y + 1]], weight[cuts[y] : cuts[y + 1]]
-        low, high = np.searchsorted(at, own), np.searchsorted(at, own, side="right")
-        m = high - low
-        where = np.arange(int(m.sum())) - np.repeat(np.cumsum(m) - m, m) + np.repeat(low, m)
-        both = np.bincount(docs[where], weights=np.minimum(counts[where], np.repeat(own_counts, m)), minlength=len(texts))
-        alike = (both / np.maximum(n + n[y] - both, 1) >= similarity) & (kind != kind[y])
-        if side is not None:
-            alike &= side != side[y]
-        # of two that both look up, the later one reports
-        alike &= (kind == commonest) | (np.arange(len(texts)) < y)
-        hits = np.flatnonzero(alike)
-        found += [(int(y), int(hits[k])) for k in np.unique(kind[hits], return_index=True)[1]]
+
+    def look_up(seekers: np.ndarray, among: np.ndarray) -> None:
+        some = order[among[text[order]]]
+        at, docs, counts = shingle[some], text[some], weight[some]
+        for y in np.flatnonzero(seekers):
+            own, own_counts = shingle[cuts[y] : cuts[y + 1]], weight[cuts[y] : cuts[y + 1]]
+            low, high = np.searchsorted(at, own), np.searchsorted(at, own, side="right")
+            m = high - low
+            where = np.arange(int(m.sum())) - np.repeat(np.cumsum(m) - m, m) + np.repeat(low, m)
+            both = np.bincount(docs[where], weights=np.minimum(counts[where], np.repeat(own_counts, m)), minlength=len(texts))
+            alike = among & (both / np.maximum(n + n[y] - both, 1) >= similarity) & (kind != kind[y])
+            if side is None:  # of two that both look up, the later one reports
+                alike &= common | (np.arange(len(texts)) < y)
+            hits = np.flatnonzero(alike)
+            found.extend((int(y), int(hits[k])) for k in np.unique(kind[hits], return_index=True)[1])
+
+    if side is None:
+        look_up(~common, np.ones(len(texts), bool))
+    else:
+        look_up(side & ~common, ~side)
+        look_up(~side & ~common, side & common)
     return found
 
 
@@ -319,30 +355,40 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     classes = near_classes(docs, similarity)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _node().alias("node"))
     rows = lasting(rows.join(classes, "node").select("doc_id", "comp"))
+    forget(classes)
     ids = rows.groupBy("comp").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
     return rows.join(lasting(ids), "comp").select("doc_id", "class_id", "class_size")
 
 
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """All columns of the rows that stay: of each class, the row of least doc_id (nulls last), then of least text.
+    """All columns of the rows that stay: of each class, the row of least doc_id (nulls last), then of least text hash.
 
-    Of repeated rows one stays. See ``near_duplicates`` for the classes.
+    Of rows of one id and text the one of the least hash of its other columns stays. See
+    ``near_duplicates`` for the classes. Only the keys of the rows that go are sent to the texts.
     """
     classes = near_classes(docs, similarity)
-    taken = {c.lower() for c in docs.columns}
-    comp, node = (next(f"_{name}{k}" for k in range(99) if f"_{name}{k}" not in taken) for name in ("comp", "node"))
-    rank = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col(node))
-    rows = docs.withColumn(node, _node())
-    placed = rows.select("doc_id", node).join(classes.select(F.col("node").alias(node), F.col("comp").alias(comp)), node)
-    placed = lasting(placed)
-    first = placed.groupBy(comp).agg(F.min(rank).alias("m")).select(F.col(f"m.{node}").alias(node), F.col("m.doc_id").alias("_stays"))
-    first = lasting(first)
-    if first.count() <= BROADCAST_KEYS:
-        first = F.broadcast(first)
-    kept = rows.join(first, (rows[node] == first[node]) & rows["doc_id"].eqNullSafe(first["_stays"]), "left_semi")
-    if placed.groupBy(node, "doc_id").count().filter("count > 1").take(1):
-        kept = kept.dropDuplicates([node, "doc_id"])
-    return kept.drop(node)
+    rank = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("node"))
+    placed = lasting(docs.select("doc_id", _node().alias("node")).join(classes, "node"))
+    first = placed.groupBy("comp").agg(F.min(rank).alias("m"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("comp", "m")
+    several = placed.join(lasting(first), "comp")
+    stays = (F.col("node") == F.col("m.node")) & F.col("doc_id").eqNullSafe(F.col("m.doc_id"))
+    several = lasting(several.select("doc_id", "node", stays.alias("stays")))
+    gone = lasting(several.filter("not stays").select("doc_id", "node").distinct())
+    again = lasting(several.filter("stays").groupBy("doc_id", "node").count().filter("count > 1").select("doc_id", "node"))
+    forget(classes, placed, several)
+
+    cells = F.struct(F.lit(0).alias("_"), *(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns)))  # so that no name clashes
+    rows = docs.select(F.col("doc_id").alias("id"), _node().alias("node"), cells.alias("cells"))
+
+    def among(keys: DataFrame, how: str, rows: DataFrame) -> DataFrame:
+        keys = _few(keys)
+        return rows.join(keys, rows["id"].eqNullSafe(keys["doc_id"]) & (rows["node"] == keys["node"]), how)
+
+    kept = among(gone, "left_anti", rows)
+    if again.take(1):
+        same = among(again, "left_semi", kept).groupBy("id", "node").agg(F.min_by("cells", F.xxhash64("cells")).alias("cells"))
+        kept = among(again, "left_anti", kept).unionByName(same)
+    return kept.select(*(F.col(f"cells.c{k}").alias(c) for k, c in enumerate(docs.columns)))
 
 
 #: The same classes by comparing all texts that share a shingle, and following links.

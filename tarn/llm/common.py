@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-import atexit
 import ctypes
 import os
-import shutil
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -15,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tarn.sources.shared import shared_folder
+
 #: Rows that a Python worker turns into Python objects at a time.
 SLICE_ROWS = 512
 #: Bytes of a batch sent to a Python worker: held once by the JVM and once or twice by the worker.
@@ -29,12 +28,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def importable(spark: SparkSession) -> None:
-    """Let Python workers import this package from where the driver did, if they see that folder.
-
-    Batches sent to them are of ``BATCH_BYTES`` at most, unless the session has set that itself.
-    """
-    if spark.conf.get(_BATCH_CONF) in _BATCH_DEFAULTS:
-        spark.conf.set(_BATCH_CONF, str(BATCH_BYTES))
+    """Let Python workers import this package from where the driver did, if they see that folder."""
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     env = spark.sparkContext.environment
     known = env.get("PYTHONPATH", "")
@@ -42,29 +36,47 @@ def importable(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join(x for x in (root, known) if x)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder: spark.checkpoint.dir, or a temporary one where that is unset."""
-    sc = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="tarn-shared-")
-        atexit.register(shutil.rmtree, folder, True)
-        sc.setCheckpointDir(folder)
-    return folder
+def production(spark: SparkSession) -> SparkSession:
+    """The session, with batches to Python workers of ``BATCH_BYTES`` at most unless it sets that itself.
+
+    The queries and the pipeline call it; operators leave a session's settings as they are.
+    """
+    if spark.conf.get(_BATCH_CONF) in _BATCH_DEFAULTS:
+        spark.conf.set(_BATCH_CONF, str(BATCH_BYTES))
+    return spark
+
+
+def _delete(spark: SparkSession, path: str, at_exit: bool = False) -> None:
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if at_exit:
+        fs.deleteOnExit(hadoop)
+    else:
+        fs.delete(hadoop, True)
+        fs.cancelDeleteOnExit(hadoop)
 
 
 def lasting(df: DataFrame) -> DataFrame:
     """The rows written once as Parquet to the shared folder and read back.
 
     It cuts the lineage and survives a lost executor; the plan runs once, where
-    ``checkpoint()`` would run its last stage twice. The files go when the session's JVM ends.
+    ``checkpoint()`` would run its last stage twice. The files go when the session's JVM ends, or
+    when ``forget`` is told that nothing needs them any more.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/lasting-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    return spark.read.schema(df.schema).parquet(path)
+    _delete(spark, path, at_exit=True)
+    found = spark.read.schema(df.schema).parquet(path)
+    found._lasting_path = path
+    return found
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete the files of lasting tables, from which all that was needed has been written to others."""
+    for df in tables:
+        if path := getattr(df, "_lasting_path", None):
+            _delete(df.sparkSession, path)
 
 
 def rest_class(doc_id: str | Column, divisor: int) -> Column:

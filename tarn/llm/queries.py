@@ -6,6 +6,7 @@ picks the columns to return.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarn.llm import bag_min_hash, bm25_wand, byte_gru, chat_format, decision_list, line_windows, packed_output, quality_crf, trie_counts, two_fit_packing
-from tarn.llm.common import rest_class, table
+from tarn.llm.common import production, rest_class, table
 
 
 def op1_bm25_wand(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,7 +85,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op1_bm25_wand, op2_quality_crf, op3_bag_min_hash, op4_packed_matrices, op5_decision_list, op6_two_fit_packing,
         op7_byte_gru, op8_chat_format, op9_line_windows, op10_trie_counts,
     )
-    return {f.__name__: f for f in every}
+    return {f.__name__: _in_production(f) for f in every}
+
+
+def _in_production(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    return functools.wraps(query)(lambda spark, sf_dir: query(production(spark), sf_dir))
 
 
 #: The template's marks take 23 characters a turn; each backslash and each control string takes one more.
