@@ -11,11 +11,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tarn.llm import bag_min_hash, bm25_wand, line_windows, quality_crf, two_fit_packing
-from tarn.llm.common import lasting, table
+from tarn.llm.common import lasting, production, table
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the conditional random field, fitted to the labels, doesn't reject."""
+    production(spark)
     return quality_crf.keep_good(docs, quality_crf.fit(docs, table(spark, sf_dir, "labels")))
 
 
@@ -26,6 +27,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate class."""
+    production(spark)
     return bag_min_hash.keep_one(docs)
 
 
@@ -35,12 +37,14 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Runs go after whole copies and leaks have gone, as a copy or a leak without its runs would no
     longer be found, and what is left of it would stay.
     """
+    production(spark)
     clean = lasting(bm25_wand.decontaminate(docs, table(spark, sf_dir, "benchmark")))
     return line_windows.dedup_word_runs(clean)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents and their places in sequences."""
+    production(spark)
     return two_fit_packing.pack_documents(docs, capacity=1024, end_id=2)
 
 
