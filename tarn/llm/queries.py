@@ -27,7 +27,7 @@ def op2_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     chain = quality_crf.fit(docs, table(spark, sf_dir, "labels"))
     scored = quality_crf.score_documents(docs, chain)
-    return scored.select("doc_id", (rest_class("doc_id", 3) == 1).alias("held_out"), F.col("quality_score").alias("score"), "predicted")
+    return scored.select("doc_id", (rest_class("doc_id", 3) == 1).alias("held_out"), F.col("quality_score").alias("score"), "predicted", "n_lines", "n_bad_lines")
 
 
 def op3_bag_min_hash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -84,13 +84,64 @@ def test_line_features_know_neighbours_and_lengths():
     assert x[:, -2].tolist() == [1, 0, 0, 1, 1] and x[:, -1].tolist() == [0, 0, 1, 1, 1]
 
 
-def test_quality_is_learned(spark, odd):
+@given(st.lists(st.text(alphabet="aB.\n ", max_size=30), min_size=1, max_size=6), st.integers(0, 10**6))
+def test_pooling_lines_by_definition(texts, seed):
+    _, lengths, counts = quality_crf.line_features(texts)
+    marginals = np.random.default_rng(seed).random(len(lengths))
+    given_, want = iter(marginals), []
+    for t in texts:
+        weights = [len(line.encode()) + 1 for line in t.split("\n")]
+        want.append(sum(w * next(given_) for w in weights) / sum(weights))
+    assert np.allclose(quality_crf.pooled(marginals, lengths, counts), want)
+
+
+def test_line_labels_are_held_to_their_document():
+    counts, lengths = np.array([3, 3, 1]), np.array([10, 10, 80, 10, 10, 80, 5])
+    odds = np.array([-3.0, 2.0, 4.0, -3.0, 3.0, -9.0, -1.0])
+    assert quality_crf.held(odds, lengths, counts, np.array([True, False, True]), 0.2).tolist() == [0, 1, 1, 0, 1, 0, 1]
+    assert quality_crf.held(odds, lengths, counts, np.array([False, True, False]), 0.2).tolist() == [0, 0, 0, 1, 1, 1, 0]
+
+
+@pytest.fixture(scope="module")
+def fitted(spark):
+    return quality_crf.fit(read(spark, "documents"), read(spark, "labels"))
+
+
+def test_lines_can_differ_from_their_document(spark, fitted):
+    """Held-out good and bad texts, one after the other: most lines on each side are labelled right."""
+    held = read(spark, "documents").join(read(spark, "labels"), "doc_id").filter(rest_class("doc_id", 3) == 1).orderBy("doc_id").collect()
+    sides = {q: [r.text.split("\n")[:12] for r in held if r.quality == q and r.text.count("\n") > 2] for q in (0, 1)}
+    rng = np.random.default_rng(1)
+    rows, want = [], {}
+    for k in range(120):
+        order = (0, 1) if k % 2 else (1, 0)
+        parts = [(q, sides[q][rng.integers(len(sides[q]))]) for q in order]
+        rows.append((k, "\n".join(line for _, p in parts for line in p)))
+        want[k] = [q for q, p in parts for _ in p]
+    right = {0: [], 1: []}
+    for r in quality_crf.label_lines(spark.createDataFrame(rows, "doc_id long, text string"), fitted).collect():
+        right[want[r.doc_id][r.line]].append(r.label == want[r.doc_id][r.line])
+        assert r.label == (r.good >= 0.5)
+    assert np.mean(right[0]) > 0.7 and np.mean(right[1]) > 0.9
+
+
+def test_the_sample_is_bounded_in_bytes(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, "x\n" * (50_000 if k % 4 == 0 else 5)) for k in range(40)] + [(7, "again")] * 30, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(quality_crf, "train", lambda own, lengths, counts, good, rounds: seen.append((own.nbytes, counts.tolist())))
+    quality_crf.fit(docs, labels, sample_bytes=100_000)
+    assert seen[0][0] <= 100_000 and set(seen[0][1]) == {1, 6} and len(seen[0][1]) > 15
+
+
+def test_quality_is_learned(spark, odd, fitted):
     found = queries.queries()["op2_quality_crf"](spark, DATA).toPandas()
     assert len(found) == read(spark, "documents").count() and found["score"].between(0, 1).all()
     assert (found["predicted"] == (found["score"] >= 0.5)).all()
     held = found[found["held_out"]].merge(read(spark, "labels").toPandas(), on="doc_id")
     assert len(held) > 50 and (held["predicted"] == held["quality"]).mean() > 0.95
-    chain = quality_crf.fit(read(spark, "documents"), read(spark, "labels"))
+    chain = fitted
+    assert (found["n_bad_lines"] <= found["n_lines"]).all() and ((found["n_bad_lines"] > 0) & (found["n_bad_lines"] < found["n_lines"])).sum() > 20
     scored = quality_crf.score_documents(odd, chain)
     assert scored.count() == len(ODD) and scored.filter("quality_score between 0 and 1").count() == len(ODD) and scored.columns.count("predicted") == 1
     assert quality_crf.keep_good(odd, chain).columns == odd.columns
