@@ -1,8 +1,8 @@
 """Best-two-fit packing of documents into sequences of bounded length.
 
 Each bin is filled greedily with the longest pieces that fit. Then its smallest piece is put back
-if two unpacked pieces together fill the widened gap more tightly. In the end, bins that still have a
-gap are filled again by best fit, if that takes fewer of them.
+if two unpacked pieces together fill the widened gap more tightly; of the pairs that fill it best, the
+one with the longest piece is taken.
 
 Scale: tokens are counted where the documents lie, and only (id, piece, length) rows are shuffled.
 The pieces are dealt by hash into groups of about ``GROUP_PIECES``, each packed on its own in one
@@ -21,7 +21,6 @@ from pyspark.sql import functions as F
 
 from tarn.llm import tokens
 from tarn.llm.common import importable, lasting, slices
-from tarn.llm.packed_output import best_fit_decreasing
 
 GROUP_PIECES = 16_384
 
@@ -109,21 +108,6 @@ def best_two_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.nda
             place += size
         made += 1
         remaining -= len(members)
-    return _refill(lengths, bins, offsets, made, capacity)
-
-
-def _refill(lengths: np.ndarray, bins: np.ndarray, offsets: np.ndarray, made: int, capacity: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bins with a gap left are emptied and filled again by best fit, if that takes fewer."""
-    loose = np.bincount(bins, weights=lengths, minlength=made) < capacity
-    rows = np.flatnonzero(loose[bins]) if made else np.empty(0, int)
-    again = best_fit_decreasing(lengths[rows].tolist(), capacity)
-    if len(again) < loose.sum():
-        free = np.flatnonzero(loose)
-        for b, members in zip(free, again):
-            place = 0
-            for k in members:
-                bins[rows[k]], offsets[rows[k]] = b, place
-                place += lengths[rows[k]]
     return bins, offsets
 
 

@@ -77,6 +77,30 @@ def test_best_two_fit_fills_bins_gaplessly(lengths):
         assert len(set(bins.tolist())) <= 1.7 * (sum(lengths) / 40) + 1
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(1, 40), max_size=60))
+def test_best_two_fit_equals_the_plain_rule(lengths):
+    left, want = sorted(lengths, reverse=True), []
+    while left:
+        members, gap = [], 40
+        for n in list(left):
+            if n <= gap:
+                members.append(n)
+                left.remove(n)
+                gap -= n
+        pairs = [(a + b, max(a, b), min(a, b)) for i, a in enumerate(left) for b in left[i + 1 :] if members[-1] < a + b <= gap + members[-1]]
+        if gap and pairs:
+            _, a, b = max(pairs)
+            left.append(members.pop())
+            for n in (a, b):
+                left.remove(n)
+                members.append(n)
+            left.sort(reverse=True)
+        want.append(sorted(members))
+    bins, _ = best_two_fit(np.array(lengths, dtype=int), 40)
+    assert [sorted(lengths[i] for i in np.flatnonzero(bins == b)) for b in range(len(want))] == want
+
+
 def test_best_two_fit_replaces_the_smallest():
     # greedy: 6 + 3, gap 1; 3 is replaced by 2 + 2, which fill the gap of 4
     bins, _ = best_two_fit(np.array([6, 3, 2, 2]), 10)
@@ -107,9 +131,13 @@ def test_two_fit_packing(spark, docs, encode):
 
 
 def test_packing_is_tight(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    found = two_fit_packing.pack_documents(docs).toPandas()
-    assert found["sequence_id"].nunique() <= np.ceil(found["length"].sum() / 1024) + 3
+    for sf, more in (("sf0.001", 4), ("sf0.01", 6)):
+        docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")
+        found = two_fit_packing.pack_documents(docs).toPandas()
+        assert found["sequence_id"].nunique() <= np.ceil(found["length"].sum() / 1024) + more
+    rng = np.random.default_rng(0)
+    lengths = np.minimum(np.exp(rng.normal(6, 1.2, 16_384)).astype(int) + 1, 1024)
+    assert best_two_fit(lengths, 1024)[0].max() + 1 <= np.ceil(lengths.sum() / 1024) * 1.001 + 1
 
 
 @settings(max_examples=200, deadline=None)
