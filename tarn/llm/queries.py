@@ -66,7 +66,7 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
-    return chat_format.read_back(chat_format.format_conversations(turns))
+    return chat_format.read_back(chat_format.format_conversations(turns), in_order=True)
 
 
 def op9_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,10 +2,12 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -95,8 +97,35 @@ def test_trie_counts_by_brute_force(text):
     assert TokenTrie(SCORES).count(text) == plain_count(text, SCORES, min(SCORES.values()) - 10)
 
 
+@given(st.text(alphabet="ab \né", max_size=60), st.integers(1, 12))
+def test_stretches_part_no_pre_token(text, size):
+    parts = list(trie_counts.stretches(" " + text, size))
+    assert "".join(parts) == " " + text
+    assert [w for p in parts for w in trie_counts.PRE_TOKEN.findall(p)] == trie_counts.PRE_TOKEN.findall(" " + text)
+
+
+def test_very_long_pre_tokens_take_little_memory():
+    word = "".join(random.Random(1).choice("abé") for _ in range(1_500))
+    trie = TokenTrie(SCORES)
+    assert trie.count(word) == plain_count(word, SCORES, min(SCORES.values()) - 10)
+    assert len(trie.best) <= trie_counts.MOST_DEPTH + 1 and not trie.terminal
+    text = word * 100
+    tracemalloc.start()
+    trie.count(text)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 3_000_000
+
+
+def test_counts_are_at_the_nodes():
+    trie = TokenTrie(SCORES)
+    trie.count("ab abab ab")
+    assert set(trie.terminal) == {" ab", " abab"} and len(trie.best) == 6
+    assert all(trie.tokens[node] == plain_count(word[1:], SCORES, -100) for word, node in trie.terminal.items())
+
+
 def test_trie_counts_with_a_small_trie():
-    small, large = TokenTrie(SCORES, most_nodes=5), TokenTrie(SCORES)
+    small, large = TokenTrie(SCORES, most_nodes=5, most_depth=2), TokenTrie(SCORES)
     texts = ["ab ab bab", "a b", "", "中é ab" * 50]
     assert [small.count(t) for t in texts * 3] == [large.count(t) for t in texts * 3]
 
@@ -156,12 +185,29 @@ def test_parts_are_visited_in_order(spark):
     assert parse(r.formatted) == [("user", "see <|image|>and"), ("assistant", "finedone"), ("user", "")]
 
 
-def test_unknown_parts_fail():
-    with pytest.raises(ValueError):
-        chat_format.PartVisitor().turn("user", [{"type": "video"}])
+def test_null_and_unknown_parts_are_skipped(spark):
+    part = lambda kind, text=None: (kind, text, None, None, None, None, None)
+    turns = spark.createDataFrame([(1, 0, "assistant", [part("text", "a"), None, part("video", "v"), part(None, "n"), part("unknown"), part("text"), part("text", "b")]), (1, 1, "user", [None])], f"conv_id long, turn long, role string, parts array<{chat_format.PART}>")
+    r = chat_format.format_conversations(turns).first()
+    assert r.skipped_parts == 5 and parse(r.formatted) == [("assistant", "ab"), ("user", "")] and [r.formatted[x.start : x.stop] for x in r.loss_spans] == ["a", "b"]
     assert Counter(CONTROL_STRINGS).most_common(1)[0][1] == 1
 
 
+def test_long_conversations_are_several_chunks(spark):
+    """The same is read back however a conversation is cut, in order or from rows in any order."""
+    rng = random.Random(3)
+    rows = [(c, t, rng.choice(["user", "assistant"]), rng.choice(["", "</s> \\ x", "words " * rng.randrange(9)])) for c, n in ((1, 300), (2, 1), (None, 40)) for t in range(n)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    whole = chat_format.format_conversations(turns)
+    cut = chat_format.format_conversations(turns, chunk_chars=200)
+    found = lambda df: sorted(map(str, df.collect()))
+    want = found(chat_format.read_back(whole))
+    assert whole.count() == 3 and cut.count() > 20 and len(want) == 3
+    assert found(chat_format.read_back(cut, in_order=True)) == want and found(chat_format.read_back(cut.orderBy(F.rand(1)))) == want
+    joined = {c: "".join(r.formatted for r in sorted((r for r in cut.collect() if r.conv_id == c), key=lambda r: r.chunk)) for c in (1, 2, None)}
+    assert joined == {r.conv_id: r.formatted for r in whole.collect()}
+
+
 def plain_run_dedup(docs):
     """Brute force over (id, text), ids distinct."""
     split, at, gone = {d: re.findall(r"[^ \t\n\r\f\x0b]+[ \t\n\r\f\x0b]*", t or "") for d, t in docs}, {}, set()
