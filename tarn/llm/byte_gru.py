@@ -6,8 +6,8 @@ a language is the mean over all its bytes. It is written and trained in numpy, b
 through time.
 
 Scale: prediction needs no shuffle and runs over many windows at once, whatever documents they are
-from, so a very long text is no longer chain than a short one. Training takes windows (not texts)
-of at most ``sample_rows`` documents to the driver.
+from, so a very long text is no longer chain than a short one. Training takes the whole texts of at most
+``sample_rows`` documents, of ``sample_bytes`` in all, to the driver.
 """
 
 from __future__ import annotations
@@ -141,18 +141,34 @@ def at_end(windows: np.ndarray, filled: np.ndarray) -> np.ndarray:
     return np.where(steps >= back, windows[np.arange(len(windows))[:, None], (steps - back) % windows.shape[1]], 0).astype(np.uint8)
 
 
-def train(windows: np.ndarray, language: np.ndarray, languages: list[str], h: int = 8, steps: int = 500, batch: int = 256, rate: float = 0.02, seed: int = 7) -> Network:
-    """Fit a network by Adam to windows of bytes, each language drawn alike."""
+def windows_of(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Windows of all the bytes of texts that aren't empty, how much of each is filled, and the windows of each text."""
+    sizes = np.array([len(r) for r in raws], dtype=np.int64)
+    held = -(-sizes // WINDOW)
+    firsts = np.cumsum(held) - held
+    data = np.zeros(int(held.sum()) * WINDOW, np.uint8)
+    for raw, first in zip(raws, firsts):
+        data[first * WINDOW : first * WINDOW + len(raw)] = np.frombuffer(raw, np.uint8)
+    filled = np.full(len(data) // WINDOW, WINDOW)
+    filled[firsts + held - 1] = sizes - (held - 1) * WINDOW
+    return data.reshape(-1, WINDOW), filled, held
+
+
+def train(texts: list[bytes], language: np.ndarray, languages: list[str], h: int = 8, steps: int = 500, batch: int = 256, rate: float = 0.02, seed: int = 7) -> Network:
+    """Fit a network by Adam to whole texts, as bytes: each language is drawn alike, then each text, then each of its windows."""
     net = Network.fresh(languages, h, seed)
     rng = np.random.default_rng(seed)
+    windows, full, held = windows_of(texts)
+    firsts = np.cumsum(held) - held
     rows = [np.flatnonzero(language == k) for k in range(len(languages))]
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in net.parts()]
     for step in range(1, steps + 1):
         drawn = np.concatenate([rng.choice(r, -(-batch // len(rows))) for r in rows])
+        at = firsts[drawn] + rng.integers(0, held[drawn])
         # half of them as short texts come: fewer bytes, behind zeros
-        filled = np.where(rng.random(len(drawn)) < 0.5, rng.integers(8, WINDOW + 1, len(drawn)), WINDOW)
+        filled = np.minimum(full[at], np.where(rng.random(len(drawn)) < 0.5, rng.integers(8, WINDOW + 1, len(drawn)), WINDOW))
         slow = rate * min(1.0, 2 * (1 - step / (steps + 1)))
-        for p, g, (m, v) in zip(net.parts(), net.gradients(at_end(windows[drawn], filled), language[drawn], filled), moments):
+        for p, g, (m, v) in zip(net.parts(), net.gradients(at_end(windows[at], filled), language[drawn], filled), moments):
             m += 0.1 * (g - m)
             v += 0.01 * (g * g - v)
             p -= slow * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
@@ -165,16 +181,9 @@ def has_letter(text: str | None) -> bool:
 
 def pooled(net: Network, texts: list[str]) -> np.ndarray:
     """The mean of each text's position probabilities (texts, languages); the texts aren't empty."""
-    raws = [t.encode("utf-8", "surrogatepass") for t in texts]
-    sizes = np.array([len(r) for r in raws])
-    held = -(-sizes // WINDOW)  # windows of each text
+    windows, filled, held = windows_of([t.encode("utf-8", "surrogatepass") for t in texts])
     firsts = np.cumsum(held) - held
-    data = np.zeros(int(held.sum()) * WINDOW, np.uint8)
-    for raw, first in zip(raws, firsts):
-        data[first * WINDOW : first * WINDOW + len(raw)] = np.frombuffer(raw, np.uint8)
-    windows = data.reshape(-1, WINDOW)
-    filled = np.full(len(windows), WINDOW)
-    filled[firsts + held - 1] = sizes - (held - 1) * WINDOW
+    sizes = np.add.reduceat(filled, firsts)
     sums = np.empty((len(windows), len(net.languages)))
     full = np.flatnonzero(filled == WINDOW)
     for k in range(0, len(full), BATCH):
@@ -189,38 +198,29 @@ def pooled(net: Network, texts: list[str]) -> np.ndarray:
     return np.add.reduceat(sums, firsts, axis=0) / sizes[:, None]
 
 
-def fit(docs: DataFrame, sample_rows: int = 4_000, windows_a_row: int = 6, h: int = 8, steps: int = 500) -> Network | None:
-    """A network from about ``sample_rows`` documents, evenly spaced windows of each.
+def fit(docs: DataFrame, sample_rows: int = 4_000, sample_bytes: int = 32_000_000, h: int = 8, steps: int = 500) -> Network | None:
+    """A network from the whole texts of at most ``sample_rows`` documents, those with the least hashes of their ids.
 
-    Documents whose crc32 of the id as text, modulo 5, is 0 are never learned from, nor those of a
-    null language or text. The sample is those of least hash, by the share of the table that the
-    bound is, and the bound is then held. Without such documents there is no network.
+    Of these, documents are taken in that order as long as they fit into ``sample_bytes``; one that
+    doesn't is passed over. Documents whose crc32 of the id as text, modulo 5, is 0 are never learned
+    from, nor those of a null language, or of a null or empty text. Without such documents there is no network.
     """
-    importable(docs.sparkSession)
-    usable = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (rest_class("doc_id", 5) != 0))
-    share = min(1.0, 1.1 * sample_rows / max(1, docs.count()))
-    chosen = usable.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000) + 1).select("doc_id", "lang", "text")
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            ids, langs, found = [], [], []
-            for doc_id, lang, text in zip(*(c.to_pylist() for c in batch.columns)):
-                raw = text.encode("utf-8", "surrogatepass")
-                if len(raw) < WINDOW:
-                    raw = (raw + b"\n") * (WINDOW // (len(raw) + 1) + 1)
-                places = np.linspace(0, len(raw) - WINDOW, windows_a_row).astype(int)
-                ids.append(doc_id)
-                langs.append(lang)
-                found.append(b"".join(raw[s : s + WINDOW] for s in places))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(langs, pa.string()), pa.array(found, pa.binary())], names=["doc_id", "lang", "windows"])
-
-    rows = chosen.mapInArrow(cut, "doc_id long, lang string, windows binary").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows).toPandas()
-    if rows.empty:
+    usable = F.col("lang").isNotNull() & (F.col("text") != "") & F.col("doc_id").isNotNull() & (rest_class("doc_id", 5) != 0)
+    key = ["doc_id", "lang", "mark"]
+    marked = docs.filter(usable).select("doc_id", "lang", F.xxhash64("text").alias("mark"), "text")
+    sizes = marked.select(*key, F.octet_length("text").alias("size")).orderBy(F.xxhash64("doc_id"), *key).limit(sample_rows).collect()
+    taken, left = set(), sample_bytes
+    for r in sizes:
+        if r.size <= left and (r.doc_id, r.lang, r.mark) not in taken:
+            taken.add((r.doc_id, r.lang, r.mark))
+            left -= r.size
+    if not taken:
         return None
-    rows = rows.sort_values(["doc_id", "windows"], ignore_index=True)
-    languages = sorted(set(rows["lang"]))
-    windows = np.frombuffer(b"".join(rows["windows"]), np.uint8).reshape(-1, WINDOW)
-    return train(windows, np.repeat([languages.index(x) for x in rows["lang"]], windows_a_row), languages, h, steps)
+    picked = docs.sparkSession.createDataFrame(sorted(taken), marked.select(*key).schema)
+    rows = marked.join(F.broadcast(picked), key).groupBy(*key).agg(F.first("text").alias("text")).collect()
+    rows = sorted(rows, key=lambda r: (r.doc_id, r.lang, r.mark))
+    languages = sorted({r.lang for r in rows})
+    return train([r.text.encode("utf-8", "surrogatepass") for r in rows], np.array([languages.index(r.lang) for r in rows]), languages, h, steps)
 
 
 def identify(docs: DataFrame, net: Network | None) -> DataFrame:
