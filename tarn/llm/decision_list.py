@@ -164,15 +164,20 @@ def learn(x: dict[str, np.ndarray], bad: np.ndarray, most_rules: int = 12, least
     return rules
 
 
-def verdict(rules: list[list[Term]]) -> Column:
-    """The list as an expression over ``COUNTS``: true where no rule says bad."""
+def first_rule(rules: list[list[Term]]) -> Column:
+    """The list as an expression over ``COUNTS``: the number (from 0) of the first rule that says bad, or null."""
     out = None
-    for terms in rules:
+    for k, terms in enumerate(rules):
         every = terms[0].column()
         for t in terms[1:]:
             every = every & t.column()
-        out = F.when(every, F.lit(False)) if out is None else out.when(every, F.lit(False))
-    return F.lit(True) if out is None else out.otherwise(F.lit(True))
+        out = F.when(every, F.lit(k)) if out is None else out.when(every, F.lit(k))
+    return F.lit(None).cast("int") if out is None else out
+
+
+def verdict(rules: list[list[Term]]) -> Column:
+    """True where no rule says bad."""
+    return first_rule(rules).isNull()
 
 
 def base_failed() -> Column:
@@ -194,9 +199,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000) -> list[l
 
 
 def apply_rules(docs: DataFrame, rules: list[list[Term]]) -> DataFrame:
-    """doc_id, ``COUNTS``, base_failed and kept (not base_failed, and no rule says bad) of each row.
+    """doc_id, ``COUNTS``, base_failed, kept (not base_failed, and no rule says bad) and rule (the first that does) of each row.
 
     A null or empty text has counts of 0 and fails the base rules. Null ids and repeated rows are
     rows like any other; an empty table gives no rows. Only doc_id and text are read.
     """
-    return document_counts(docs).withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & verdict(rules))
+    return document_counts(docs).withColumn("base_failed", base_failed()).withColumn("rule", first_rule(rules)).withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull())

@@ -3,6 +3,9 @@
 Best-fit-decreasing: pieces from the longest to the shortest each go to the bin with the least
 room that is enough, found by a segment tree over the room that bins have left.
 
+The number of rows depends on how the documents are partitioned, as each task packs its own: many
+small files leave a loose row each.
+
 Scale: no shuffle. Each task packs the documents of its own partition in blocks of bounded size
 and writes whole matrix rows, so that ids never leave the task that made them. A block leaves a
 bin or two partly filled, of thousands.

@@ -44,7 +44,7 @@ def op5_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The counts of each document and whether the base rules and the learned list keep it."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     rules = decision_list.fit(docs, table(spark, sf_dir, "labels"))
-    columns = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    columns = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
     return decision_list.apply_rules(docs, rules).select(*columns)
 
 

@@ -54,7 +54,7 @@ def test_one_query_for_each_operator():
 def test_queries_give_the_columns_of_their_contracts(spark):
     want = {
         "op2_quality_crf": ["doc_id", "held_out", "score", "predicted", "n_lines", "n_bad_lines"],
-        "op5_decision_list": ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"],
+        "op5_decision_list": ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule"],
         "op6_two_fit_packing": ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"],
         "op8_chat_format": ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"],
     }
