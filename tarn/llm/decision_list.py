@@ -189,11 +189,15 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000) -> list[l
     """Rules from at most ``sample_rows`` labelled documents, those with the least hashes of their ids.
 
     Rows whose crc32 of the id, modulo 3, is 1 are left out, to measure on. Labels of null quality
-    and rows that fail the base rules teach nothing.
+    and rows that fail the base rules teach nothing. Repeated labels, and rows of one id with the same
+    counts, teach once; if ids have several texts, at most ``sample_rows`` rows teach all the same.
     """
-    chosen = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & (rest_class("doc_id", 3) != 1)).select("doc_id", "quality").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
+    usable = F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & (rest_class("doc_id", 3) != 1)
+    order = (F.xxhash64("doc_id"), "doc_id", "quality")
+    chosen = labels.filter(usable).select("doc_id", "quality").distinct().orderBy(*order).limit(sample_rows)
     taught = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    rows = document_counts(taught, ("doc_id", "quality")).filter(~base_failed()).select("quality", *(c.alias(k) for k, c in features().items())).toPandas()
+    counted = document_counts(taught, ("doc_id", "quality")).filter(~base_failed()).distinct()
+    rows = counted.orderBy(*order, *COUNTS).limit(sample_rows).select("quality", *(c.alias(k) for k, c in features().items())).toPandas()
     rows = rows.sort_values(list(rows.columns), ignore_index=True)  # the same order on any cluster
     return learn({k: rows[k].to_numpy(float) for k in features()}, (rows["quality"] == 0).to_numpy())
 

@@ -253,11 +253,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 4_000, sample_byt
     Of these, whole documents are taken in that order as long as their line features fit into
     ``sample_bytes``; one that doesn't is passed over. Rows whose crc32 of the id as text, modulo 3,
     is 1 are never learned from. Labels of null quality teach nothing; without any, every score is 0.5.
+    Repeated labels, and rows of one id with the same features, teach once.
     """
     usable = F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & (rest_class("doc_id", 3) != 1)
-    chosen = labels.filter(usable).select("doc_id", "quality").orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample_rows)
+    chosen = labels.filter(usable).select("doc_id", "quality").distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample_rows)
     features = lasting(_features_of(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")).withColumn("mark", F.xxhash64("own", "lengths")))
-    sizes = features.select("doc_id", "quality", "mark", F.length("own").alias("size")).orderBy(F.xxhash64("doc_id"), "doc_id", "quality", "mark").limit(sample_rows).collect()
+    sizes = features.select("doc_id", "quality", "mark", F.length("own").alias("size")).distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "quality", "mark").limit(sample_rows).collect()
     taken, left = set(), sample_bytes
     for r in sizes:
         if r.size <= left:

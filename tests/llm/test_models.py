@@ -156,6 +156,26 @@ def test_held_out_labels_change_nothing(spark):
     assert np.array_equal(a.weights, b.weights) and np.array_equal(a.transitions, b.transitions)
 
 
+def test_repeated_ids_and_labels_teach_once(spark, monkeypatch):
+    """Hot ids neither change what is learned nor get more rows to the driver than the sample holds."""
+    docs, labels = read(spark, "documents"), read(spark, "labels")
+    hot = labels.filter("quality is not null").limit(20)
+    often = lambda df, n: df.crossJoin(spark.range(n).toDF("again")).drop("again")
+    more_labels = labels.union(often(hot, 30))
+    more_docs = docs.union(often(docs.join(hot.select("doc_id"), "doc_id", "left_semi").select(docs.columns), 30))
+    assert decision_list.fit(docs, labels) == decision_list.fit(more_docs, more_labels)
+    a, b = quality_crf.fit(docs, labels, rounds=5), quality_crf.fit(more_docs, more_labels, rounds=5)
+    assert np.array_equal(a.weights, b.weights)
+    a, b = (quality_crf.fit(docs, x, sample_rows=30, rounds=5) for x in (labels, more_labels))
+    assert np.array_equal(a.weights, b.weights)
+    # other texts of one id: no more of them than the sample holds
+    texts = docs.crossJoin(spark.range(20).toDF("again")).withColumn("text", F.concat("text", F.repeat(F.lit(" more"), F.col("again").cast("int")))).select(docs.columns)
+    sizes = []
+    monkeypatch.setattr(decision_list, "learn", lambda x, bad: sizes.append(len(bad)) or [])
+    decision_list.fit(texts, labels, sample_rows=50)
+    assert sizes == [50]
+
+
 def test_no_labels(spark, odd):
     none = spark.createDataFrame([], "doc_id long, quality int")
     chain = quality_crf.fit(odd, none)
